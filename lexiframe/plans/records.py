@@ -1,2 +1,42 @@
-QUERIES = {}
-SQL = {}
+"""Queries over raw rows and nested records (problems 6 and 7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexiframe.session import table
+from lexiframe.sources import delimited, nested
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return delimited.rejects(table(spark, d, "raw_rows"))
+
+
+def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return delimited.valid(table(spark, d, "raw_rows"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.links(table(spark, d, "masc_records"))
+
+
+def _flat(make):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return make(nested.objects(table(spark, d, "masc_records")))
+
+    return run
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_loaded": p6_loaded,
+    "p7_found": p7_found,
+    "p7_layers": _flat(nested.layers),
+    "p7_regions": _flat(nested.regions),
+    "p7_nodes": _flat(nested.nodes),
+    "p7_annotations": _flat(nested.annotations),
+    "p7_features": _flat(nested.features),
+    "p7_edges": _flat(nested.edges),
+}
+
+SQL: dict[str, str] = {}

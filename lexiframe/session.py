@@ -83,3 +83,13 @@ def release(df: DataFrame | None) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Partitions by cols into as many parts as the session shuffles to, for costly work per row.
+
+    The number is stated, so small data isn't gathered into a few tasks after the shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
