@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import bpe, overlap, splits, terms
+from lexiframe.llm import bpe, knn, overlap, spam, splits, terms
 from lexiframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,25 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.found(table(spark, d, "word_vectors"))
+
+
+def p2_search(spark: SparkSession, d: str) -> DataFrame:
+    return knn.search(table(spark, d, "word_vectors"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(table(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.scores(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_search": p2_search,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
@@ -56,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
 
 _WORDS = r"""
@@ -75,7 +95,16 @@ WITH w AS (SELECT DISTINCT ON (sent_id) sent_id, words FROM sentences WHERE sent
  c AS (SELECT term_field, term, count(*) AS n_occ, count(DISTINCT rec) AS n_rec FROM both_ WHERE term IS NOT NULL AND term <> '' GROUP BY 1, 2)
 """
 
+_USABLE = """
+WITH u AS (SELECT vec_id, list_transform(vec, lambda x: x::DOUBLE) AS v FROM word_vectors
+  WHERE vec IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0
+   AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+ c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+ r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM c)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _USABLE + " SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE rank <= 5 AND cosine >= 0.85",
     "p3_found": "WITH " + _WORDS + """
  SELECT DISTINCT least(a.sent_id, b.sent_id) AS sent_id_a, greatest(a.sent_id, b.sent_id) AS sent_id_b
  FROM e a JOIN e b ON a.split = 'train' AND b.split <> 'train' AND a.sent_id <> b.sent_id
