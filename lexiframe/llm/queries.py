@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import bpe, knn, overlap, spam, splits, terms
+from lexiframe.llm import bpe, knn, overlap, sentences, spam, splits, terms
 from lexiframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(spark, d, "slabs"), "slab_id", "content")
+
+
+def p1_documents(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.found(table(spark, d, "word_vectors"))
 
@@ -65,6 +73,8 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_documents": p1_documents,
     "p2_found": p2_found,
     "p2_search": p2_search,
     "p3_found": p3_found,
