@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import bpe, knn, overlap, sentences, spam, splits, terms
+from lexiframe.llm import bpe, knn, overlap, packing, sentences, spam, splits, terms
 from lexiframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def p2_search(spark: SparkSession, d: str) -> DataFrame:
     return knn.search(table(spark, d, "word_vectors"))
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack_documents(table(spark, d, "documents")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.found(table(spark, d, "documents"))
 
@@ -84,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
 }
