@@ -15,7 +15,7 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.llm import bpe
@@ -118,7 +118,27 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], genera
     return [bins for _, bins in pool[:elites]]
 
 
-_ITEMS = "items array<struct<doc_id:{kind},piece:int,size:int>>"
+def _flat(solutions: list[Bins], n: int) -> list[int]:
+    """Solutions as one list: for each, the number of the container of every item."""
+    out = []
+    for bins in solutions:
+        of = [0] * n
+        for i, b in enumerate(bins):
+            for x in b:
+                of[x] = i
+        out += of
+    return out
+
+
+def _deep(flat: list[int], n: int) -> list[Bins]:
+    out = []
+    for s in range(0, len(flat), n or 1):
+        of = [int(x) for x in flat[s : s + n]]
+        bins: Bins = [[] for _ in range(max(of) + 1)]
+        for x, i in enumerate(of):
+            bins[i].append(x)
+        out.append(bins)
+    return out
 
 
 def _stage(items: DataFrame, kind: str, capacity: int, stage: int) -> DataFrame:
@@ -126,45 +146,35 @@ def _stage(items: DataFrame, kind: str, capacity: int, stage: int) -> DataFrame:
     n = items.count()
     n_blocks = max(1, -(-n // BLOCK))
     block = F.pmod(F.xxhash64(F.lit(stage), "doc_id", "piece"), F.lit(n_blocks))
-    blocks = spread(items.withColumn("block", block), "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("items"))
-    state = blocks.withColumn("elites", F.array().cast("array<array<array<int>>>"))
-    schema = f"block bigint, island int, {_ITEMS.format(kind=kind)}, elites array<array<array<int>>>, score double"
+    packed = F.array_sort(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("items")
+    blocks = spread(items.withColumn("block", block), "block").groupBy("block").agg(packed)
+    state = blocks.select("block", "items.doc_id", "items.piece", "items.size", F.array().cast("array<int>").alias("elites"))
+    schema = f"block bigint, island int, doc_id array<{kind}>, piece array<int>, size array<int>, elites array<int>, score double"
 
     def epoch(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for block_, island, its, elites in zip(b["block"], b["island"], b["items"], b["elites"]):
-                    sizes = [int(i["size"]) for i in its]
-                    start = [[[int(x) for x in c] for c in sol] for sol in elites]
-                    best = evolve(sizes, capacity, hash((stage, int(block_), int(island), number)), start)
+                for r in b.itertuples(index=False):
+                    sizes = [int(s) for s in r.size_]
+                    best = evolve(sizes, capacity, hash((stage, int(r.block), int(r.island), number)), _deep(r.elites, len(sizes)))
                     score = fitness(loads_of(best[0], sizes), capacity)
-                    yield pd.DataFrame({"block": [block_], "island": [island], "items": [its], "elites": [best], "score": [score]})
+                    yield pd.DataFrame({"block": [r.block], "island": [r.island], "doc_id": [r.doc_id], "piece": [r.piece], "size": [r.size_], "elites": [_flat(best, len(sizes))], "score": [score]})
 
         return run
 
     for number in range(EPOCHS):
-        islands = state.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
+        islands = state.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).withColumnRenamed("size", "size_")
         ran = spread(islands, "block", "island").mapInPandas(epoch(number), schema)
         if number + 1 < EPOCHS:
             # all elites of a block go to all its islands
-            state = ran.groupBy("block").agg(F.first("items").alias("items"), F.flatten(F.collect_list("elites")).alias("elites"))
-    best = ran.groupBy("block").agg(F.max_by(F.struct("items", F.col("elites")[0].alias("bins")), F.struct("score", "island")).alias("b")).select("block", "b.items", "b.bins")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = {k: [] for k in ("doc_id", "piece", "size", "container", "load")}
-            for block_, its, bins in zip(b["block"], b["items"], b["bins"]):
-                for i, c in enumerate(bins):
-                    load = sum(int(its[x]["size"]) for x in c)
-                    for x in c:
-                        out["doc_id"].append(its[x]["doc_id"])
-                        out["piece"].append(its[x]["piece"])
-                        out["size"].append(its[x]["size"])
-                        out["container"].append(f"{stage}.{block_}.{i}")
-                        out["load"].append(load)
-            yield pd.DataFrame(out)
-
-    return best.mapInPandas(rows, f"doc_id {kind}, piece int, size int, container string, load int")
+            same = [F.first(c).alias(c) for c in ("doc_id", "piece", "size")]
+            state = ran.groupBy("block").agg(*same, F.flatten(F.collect_list("elites")).alias("elites"))
+    best = ran.groupBy("block").agg(F.max_by(F.struct("doc_id", "piece", "size", "elites"), F.struct("score", "island")).alias("b"))
+    # the best solution stands first: its container of each item, then the load of each container
+    at = F.arrays_zip(F.col("b.doc_id").alias("doc_id"), F.col("b.piece").alias("piece"), F.col("b.size").alias("size"), F.slice("b.elites", 1, F.size("b.size")).alias("bin"))
+    flat = best.select("block", F.inline(at))
+    load = F.sum("size").over(Window.partitionBy("block", "bin"))
+    return flat.select("doc_id", "piece", "size", F.concat_ws(".", F.lit(stage), "block", "bin").alias("container"), load.cast("int").alias("load"))
 
 
 def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
