@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiframe.operators import evaluation, sequence, trees
+from lexiframe.operators import evaluation, parsing, sequence, trees
 from lexiframe.plans.common import ONE, TAGGED, one_sentences, tagged, tokens
 from lexiframe.session import table
 
@@ -99,9 +99,50 @@ def hmm_accuracy(spark, d):
     return evaluation.tagging(odd.select("sent_id", "pos", F.col("tag").alias("gold")).join(p, ["sent_id", "pos"]))
 
 
+def pcfg_rules(spark, d):
+    r = parsing.extract(_trees(spark, d))
+    return r.select("kind", "parent", "children", "n", F.round("logp", 6).alias("logp"))
+
+
+def _parser(spark, d):
+    """Grammar and word scores from even sentences, tokens of the odd ones that have a tree."""
+    t = tagged(spark, d).where("pmod(sent_id, 2) = 0")
+    tr, em, un = sequence.hmm_tables(t)
+    # unknown words get the open classes: the tags of most different words
+    opened = {r["tag"] for r in em.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(6).collect()}
+    unknown = {r["tag"]: r["score"] for r in un.collect() if r["tag"] in opened}
+    g = parsing.grammar(parsing.extract(_trees(spark, d).where("pmod(sent_id, 2) = 0")), [r[0] for r in un.select('tag').collect()])
+    odd = _trees(spark, d).where("pmod(sent_id, 2) = 1 and tree is not null")
+    return g, em, unknown, tokens(spark, d).join(odd.select("sent_id"), "sent_id", "left_semi"), odd
+
+
+def pcfg_parse(spark, d):
+    g, em, un, toks, _ = _parser(spark, d)
+    return parsing.parse(toks, g, em, un)
+
+
+def pcfg_max_constituent(spark, d):
+    g, em, un, toks, _ = _parser(spark, d)
+    return parsing.parse(toks, g, em, un, "constituent")
+
+
+def pcfg_kbest(spark, d):
+    g, em, un, toks, _ = _parser(spark, d)
+    return parsing.parse(toks, g, em, un, "kbest")
+
+
+def parse_eval(spark, d):
+    """Labelled precision, recall and F1 of the parser on the held-out half."""
+    g, em, un, toks, odd = _parser(spark, d)
+    guess = trees.node_table(parsing.parse(toks, g, em, un)).where("word is null")
+    gold = trees.node_table(odd).where("word is null")
+    return evaluation.precision_recall(gold, guess, ["sent_id", "label", "begin", "end"])
+
+
 QUERIES = {f.__name__: f for f in (
     tree_nodes, tree_parents, tree_leaves, tree_productions, tree_valid, tree_render, tree_standard, tree_parent_annotated, tree_binarized,
     tree_round_trip, tree_dependencies, tree_tagged_sequence, bracket_prf, hmm_emissions, hmm_viterbi, crf_posterior, hmm_accuracy,
+    pcfg_rules, pcfg_parse, pcfg_max_constituent, pcfg_kbest, parse_eval,
 )}
 
 _TREE = ONE + r""",
