@@ -43,26 +43,39 @@ class Adagrad:
         return self.rate * grad / (np.sqrt(self.g) + 1e-8)
 
 
-def row_gradient(w: np.ndarray, feats: list[int], gold: int, loss: str) -> tuple[np.ndarray, float]:
-    """(per-label factor for the row's features, loss): the direction in which weights should move."""
-    s = w[:, feats].sum(axis=1)
-    d = np.zeros(len(s))
+def batch_gradient(w: np.ndarray, idx: np.ndarray, on: np.ndarray, gold: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray]:
+    """(d (n, labels), loss (n)): per row the factor by which its features move each label's weights.
+
+    idx (n, F) are features, padded; on (n, F) says which places hold one.
+    """
+    s = (w[:, idx] * on).sum(axis=2).T
+    n, rows = len(gold), np.arange(len(gold))
     if loss == "log":
-        p = np.exp(s - s.max())
-        p /= p.sum()
-        d -= p
-        d[gold] += 1
-        return d, float(-np.log(max(p[gold], 1e-300)))
-    margin = s + (np.arange(len(s)) != gold) * (1.0 if loss in ("hinge", "mira") else 0.0)
-    y = int(margin.argmax())
-    if y == gold:
-        return d, 0.0
-    step = 1.0
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        out = -np.log(np.maximum(p[rows, gold], 1e-300))
+        p *= -1
+        p[rows, gold] += 1
+        return p, out
+    margin = s + (1.0 if loss in ("hinge", "mira") else 0.0)
+    margin[rows, gold] = s[rows, gold]
+    y = margin.argmax(axis=1)
+    lost = margin[rows, y] - s[rows, gold]
+    step = (y != gold).astype(float)
     if loss == "mira":  # the smallest move that keeps the margin, at most one
-        step = min(1.0, float(margin[y] - s[gold]) / (2 * max(1, len(feats))))
-    d[gold] += step
-    d[y] -= step
-    return d, float(margin[y] - s[gold])
+        step *= np.minimum(1.0, lost / (2 * np.maximum(1, on.sum(axis=1))))
+    d = np.zeros((n, len(w)))
+    d[rows, gold] += step
+    d[rows, y] -= step
+    return d, lost
+
+
+def padded(features) -> tuple[np.ndarray, np.ndarray]:
+    size = max([1, *map(len, features)])
+    idx, on = np.zeros((len(features), size), dtype=np.int64), np.zeros((len(features), size))
+    for i, f in enumerate(features):
+        idx[i, : len(f)], on[i, : len(f)] = f, 1.0
+    return idx, on
 
 
 def fit(rows: DataFrame, labels: list[str], loss: str = "log", passes: int = 8, l2: float = 1e-4, optimizer: str = "adagrad", buckets: int = BUCKETS) -> np.ndarray:
@@ -79,11 +92,13 @@ def fit(rows: DataFrame, labels: list[str], loss: str = "log", passes: int = 8,
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             g = np.zeros_like(sent.value)
             for b in batches:
-                for feats, y in zip(b["features"], b["label"]):
-                    if y in of and len(feats):
-                        d, _ = row_gradient(sent.value, list(feats), of[y], loss)
-                        for k in np.flatnonzero(d):
-                            np.add.at(g[k], list(feats), d[k])
+                b = b[b["label"].isin(of)]
+                for at in range(0, len(b), 2048):
+                    part = b.iloc[at : at + 2048]
+                    idx, on = padded(part["features"].tolist())
+                    d, _ = batch_gradient(sent.value, idx, on, part["label"].map(of).to_numpy(), loss)
+                    for j in range(idx.shape[1]):
+                        np.add.at(g.T, idx[:, j], d * on[:, j : j + 1])
             k, f = np.nonzero(g)
             yield pd.DataFrame({"k": k, "f": f, "v": g[k, f]})
 
@@ -105,7 +120,11 @@ def predict(rows: DataFrame, w: np.ndarray, labels: list[str], keep: list[str])
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b[keep].copy()
-            out["pred"] = [labels[int(sent.value[:, list(f)].sum(axis=1).argmax())] for f in b["features"]]
+            best: list[str] = []
+            for at in range(0, len(b), 2048):
+                idx, on = padded(b["features"].iloc[at : at + 2048].tolist())
+                best += [labels[i] for i in (sent.value[:, idx] * on).sum(axis=2).argmax(axis=0)]
+            out["pred"] = best
             yield out
 
     return rows.select(*keep, "features").mapInPandas(run, f"{kinds}, pred string")
