@@ -47,6 +47,8 @@ UNIT = 30
 REPEATED_SHARE, REPEATED_TIMES = 0.02, 4
 #: Share of the usual function words below which a unit misses them.
 MISSING = 0.35
+#: Usual share at least, where a language has too few texts (or only spam) to tell it.
+LEAST_USUAL = 0.05
 #: Of a unit's words: repeated ones in a run without function words; the top word in stuffed units.
 RUN_SHARE, TOP_SHARE, TOP_TIMES = 0.34, 0.2, 3
 
@@ -235,7 +237,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             if sizes.sum():
                 rows = np.concatenate([np.asarray(u) for u in b["units"]]).reshape(-1, width)
                 doc = np.repeat(np.arange(len(b)), sizes)
-                spam = verdict(rows, doc, np.array([usual.get(x, 0.0) for x in b["lang"]])[doc])
+                spam = verdict(rows, doc, np.array([max(usual.get(x, 0.0), LEAST_USUAL) for x in b["lang"]])[doc])
                 n_tokens = np.bincount(doc, rows[:, 0], len(b)).astype(np.int64)
                 n_spam = np.bincount(doc, rows[:, 0] * spam, len(b)).astype(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n_tokens, "n_spam": n_spam})
