@@ -29,9 +29,12 @@ SAMPLE = 32_768
 #: Rows of a leaf that trees aim at, and rows of a chunk of a heavy leaf.
 LEAF = 1_024
 CHUNK = 4_096
-#: Trees, and leaves that each query visits (one of each tree among them).
+#: Trees, and leaves that each query visits (one of each tree among them). Of 120,000 vectors, pairs of
+#: a cosine of at least 0.85 are found with a recall of 0.995 at 14 visits (0.990 at 10).
 TREES = 4
-VISITS = 10
+VISITS = 14
+#: Visits of a search without a least cosine: far neighbours lie in many leaves (recall 0.97; 0.79 at 10).
+SEARCH_VISITS = 96
 
 
 @dataclass
@@ -276,14 +279,14 @@ def neighbours(
     return everyone.select("id", F.transform(top, lambda s: F.struct((-s["neg"]).alias("cos"), s["id"].alias("id"))).alias("neighbours"))
 
 
-def found(df: DataFrame, min_cos: float = 0.85, k: int = 5, dim: int = 64) -> DataFrame:
+def found(df: DataFrame, min_cos: float = 0.85, k: int = 5, dim: int = 64, visits: int = VISITS) -> DataFrame:
     """(vec_id_a, vec_id_b), a < b: pairs of at least min_cos of which one is among the k nearest of the other."""
-    n = neighbours(df, k=k, dim=dim, min_cos=min_cos).select("id", F.explode("neighbours").alias("n"))
+    n = neighbours(df, k=k, dim=dim, min_cos=min_cos, visits=visits).select("id", F.explode("neighbours").alias("n"))
     return n.select(F.least("id", "n.id").alias("vec_id_a"), F.greatest("id", "n.id").alias("vec_id_b")).distinct()
 
 
 def search(df: DataFrame, every: int = 50, k: int = 5, dim: int = 64) -> DataFrame:
     """(vec_id, rank, neighbour_id, cosine): the k nearest of every vector whose id is divisible by
     `every`, among all vectors."""
-    n = neighbours(df, k=k, dim=dim, every=every)
+    n = neighbours(df, k=k, dim=dim, every=every, visits=SEARCH_VISITS)
     return n.select(F.col("id").alias("vec_id"), F.posexplode("neighbours").alias("p", "n")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.col("n.cos").alias("cosine"))
