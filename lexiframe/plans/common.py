@@ -35,8 +35,25 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
     return tokens(spark, d).join(tags(spark, d), ["sent_id", "pos"])
 
 
+def _held_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences whose section stands in a dev or test portion."""
+    p = table(spark, d, "portions").where("lower(portion_name) in ('dev', 'test')").select(F.explode("sections").alias("section_id"))
+    return one_sentences(spark, d).join(p.where("section_id is not null").distinct(), "section_id", "left_semi").select("sent_id")
+
+
+def held_out(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Rows of sentences of dev and test portions."""
+    return df.join(_held_ids(spark, d), "sent_id", "left_semi")
+
+
+def training(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all other sentences."""
+    return df.join(_held_ids(spark, d), "sent_id", "left_anti")
+
+
 ONE = """ one AS (SELECT DISTINCT ON (sent_id) sent_id, docid, idx, words, annotations, section_id, source FROM sentences
-   WHERE sent_id IS NOT NULL AND words IS NOT NULL)"""
+   WHERE sent_id IS NOT NULL AND words IS NOT NULL),
+ held AS (SELECT sent_id FROM one WHERE section_id IN (SELECT unnest(sections) FROM portions WHERE lower(portion_name) IN ('dev', 'test')))"""
 TOK = ONE + """,
  tok AS (SELECT sent_id, pos - 1 AS pos, coalesce(trim(words[pos]), '') AS word
    FROM (SELECT sent_id, words, unnest(range(1, len(words) + 1)) AS pos FROM one))"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import stemming
 from lexiframe.functions import words as W
 from lexiframe.operators import dense, evaluation, layers, learning, spans, treebank
-from lexiframe.plans.common import ONE, TAGGED, TOK, documents, one_sentences, tagged, tokens
+from lexiframe.plans.common import ONE, TAGGED, TOK, documents, held_out, one_sentences, tagged, tokens, training
 from lexiframe.session import shared_dir, table
 from lexiframe.sources import columns, vectors
 from lexiframe.streaming import segmenter
@@ -138,10 +138,10 @@ def _training(spark, d):
 def _learn(loss, optimizer="adagrad"):
     def run(spark, d):
         rows = _training(spark, d)
-        train = rows.where("pmod(sent_id, 2) = 0")
+        train = training(rows, spark, d)
         labels = sorted(r[0] for r in train.select("label").distinct().collect())  # the tag set
         w = learning.fit(train, labels, loss, 5, optimizer=optimizer)
-        p = learning.predict(rows.where("pmod(sent_id, 2) = 1"), w, labels, ["sent_id", "pos", "label"])
+        p = learning.predict(held_out(rows, spark, d), w, labels, ["sent_id", "pos", "label"])
         return evaluation.tagging(p.withColumnRenamed("label", "gold"))
 
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiframe.operators import evaluation, parsing, sequence, trees
-from lexiframe.plans.common import ONE, TAGGED, one_sentences, tagged, tokens
+from lexiframe.plans.common import ONE, TAGGED, held_out, one_sentences, tagged, tokens, training
 from lexiframe.session import table
 
 
@@ -76,7 +76,7 @@ def bracket_prf(spark, d):
 
 def _hmm(spark, d):
     t = tagged(spark, d)
-    return sequence.hmm_tables(t.where("pmod(sent_id, 2) = 0")), t.where("pmod(sent_id, 2) = 1")
+    return sequence.hmm_tables(training(t, spark, d)), held_out(t, spark, d)
 
 
 def hmm_emissions(spark, d):
@@ -105,14 +105,14 @@ def pcfg_rules(spark, d):
 
 
 def _parser(spark, d):
-    """Grammar and word scores from even sentences, tokens of the odd ones that have a tree."""
-    t = tagged(spark, d).where("pmod(sent_id, 2) = 0")
+    """Grammar and word scores from the training sentences, tokens of the held-out ones that have a tree."""
+    t = training(tagged(spark, d), spark, d)
     tr, em, un = sequence.hmm_tables(t)
     # unknown words get the open classes: the tags of most different words
     opened = {r["tag"] for r in em.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(6).collect()}
     unknown = {r["tag"]: r["score"] for r in un.collect() if r["tag"] in opened}
-    g = parsing.grammar(parsing.extract(_trees(spark, d).where("pmod(sent_id, 2) = 0")), [r[0] for r in un.select('tag').collect()])
-    odd = _trees(spark, d).where("pmod(sent_id, 2) = 1 and tree is not null")
+    g = parsing.grammar(parsing.extract(training(_trees(spark, d), spark, d)), [r[0] for r in un.select('tag').collect()])
+    odd = held_out(_trees(spark, d), spark, d).where("tree is not null")
     return g, em, unknown, tokens(spark, d).join(odd.select("sent_id"), "sent_id", "left_semi"), odd
 
 
@@ -132,7 +132,7 @@ def pcfg_kbest(spark, d):
 
 
 def parse_eval(spark, d):
-    """Labelled precision, recall and F1 of the parser on the held-out half."""
+    """Labelled precision, recall and F1 of the parser on the held-out sentences."""
     g, em, un, toks, odd = _parser(spark, d)
     guess = trees.node_table(parsing.parse(toks, g, em, un)).where("word is null")
     gold = trees.node_table(odd).where("word is null")

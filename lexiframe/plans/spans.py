@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import maths
 from lexiframe.operators import evaluation, indexing, spans
-from lexiframe.plans.common import ONE, TAG, TAGGED, TOK, one_sentences, tagged, tags, tokens
+from lexiframe.plans.common import ONE, TAG, TAGGED, TOK, held_out, one_sentences, tagged, tags, tokens, training
 from lexiframe.session import table
 
 
@@ -96,21 +96,21 @@ def quote_state(spark, d):
 
 
 def _gazetteer(spark, d):
-    """Entries from the gold entities of even sentences: label and words."""
+    """Entries from the gold entities of the training sentences: label and words."""
     t = tokens(spark, d)
-    s = _segments(spark, d).where("pmod(sent_id, 2) = 0")
+    s = training(_segments(spark, d), spark, d)
     one = s.select("sent_id", "label", "begin", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos")).join(t, ["sent_id", "pos"])
     w = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
     return one.groupBy("sent_id", "label", "begin").agg(w.alias("words")).select(F.col("label").alias("type"), "words").distinct()
 
 
 def gazetteer_word(spark, d):
-    g = spans.gazetteer_words(tokens(spark, d).where("pmod(sent_id, 2) = 1"), _gazetteer(spark, d))
+    g = spans.gazetteer_words(held_out(tokens(spark, d), spark, d), _gazetteer(spark, d))
     return g.select("sent_id", "pos", F.array_join("types", " ").alias("types"))
 
 
 def gazetteer_span(spark, d):
-    return spans.gazetteer_spans(tokens(spark, d).where("pmod(sent_id, 2) = 1"), _gazetteer(spark, d))
+    return spans.gazetteer_spans(held_out(tokens(spark, d), spark, d), _gazetteer(spark, d))
 
 
 def _features(spark, d):
@@ -171,11 +171,11 @@ def tag_transitions(spark, d):
 
 
 def _baseline(spark, d):
-    """(sent_id, pos, gold, pred): the most common tag of each word in even sentences, for odd ones."""
+    """(sent_id, pos, gold, pred): the most common tag of each word in the training sentences, for the held-out ones."""
     t = tagged(spark, d)
-    c = t.where("pmod(sent_id, 2) = 0").groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
+    c = training(t, spark, d).groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
     best = c.groupBy("word").agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("pred"))
-    odd = t.where("pmod(sent_id, 2) = 1")
+    odd = held_out(t, spark, d)
     return odd.join(best, "word", "left").select("sent_id", "pos", F.col("tag").alias("gold"), F.coalesce("pred", F.lit("NN")).alias("pred"))
 
 
@@ -188,8 +188,8 @@ def confusion_matrix(spark, d):
 
 
 def segmentation_prf(spark, d):
-    gold = _segments(spark, d).where("pmod(sent_id, 2) = 1")
-    guess = spans.gazetteer_spans(tokens(spark, d).where("pmod(sent_id, 2) = 1"), _gazetteer(spark, d)).withColumnRenamed("type", "label")
+    gold = held_out(_segments(spark, d), spark, d)
+    guess = spans.gazetteer_spans(held_out(tokens(spark, d), spark, d), _gazetteer(spark, d)).withColumnRenamed("type", "label")
     return evaluation.precision_recall(gold, guess, ["sent_id", "label", "begin", "end"], ["label"])
 
 
@@ -236,8 +236,8 @@ _SEG = TOK + """,
  bio AS (SELECT t.sent_id, t.pos, t.word, s.label, CASE WHEN s.label IS NULL THEN 'O' WHEN t.pos = s.b THEN 'B-' || s.label ELSE 'I-' || s.label END AS bio
    FROM tok t LEFT JOIN seg s ON t.sent_id = s.sent_id AND t.pos >= s.b AND t.pos < s.e)"""
 _GAZ = _SEG + """,
- gaz AS (SELECT DISTINCT label AS type, list(word ORDER BY pos) AS words FROM bio JOIN seg USING (sent_id, label) WHERE sent_id % 2 = 0 AND pos >= seg.b AND pos < seg.e GROUP BY sent_id, label, seg.b),
- odd AS (SELECT * FROM tok WHERE sent_id % 2 = 1),
+ gaz AS (SELECT DISTINCT label AS type, list(word ORDER BY pos) AS words FROM bio JOIN seg USING (sent_id, label) WHERE sent_id NOT IN (SELECT sent_id FROM held) AND pos >= seg.b AND pos < seg.e GROUP BY sent_id, label, seg.b),
+ odd AS (SELECT * FROM tok WHERE sent_id IN (SELECT sent_id FROM held)),
  gk AS (SELECT array_to_string(words, ' ') AS key, len(words) AS n, max(type) AS type FROM gaz GROUP BY 1, 2),
  lens AS (SELECT DISTINCT n FROM gk),
  gram AS (SELECT a.sent_id, a.pos AS b, lens.n, array_to_string(list(o.word ORDER BY o.pos), ' ') AS key FROM odd a, lens JOIN odd o ON o.sent_id = a.sent_id AND o.pos >= a.pos AND o.pos < a.pos + lens.n
@@ -245,9 +245,9 @@ _GAZ = _SEG + """,
  gs AS (SELECT sent_id, b, b + gram.n AS e, gk.type FROM gram JOIN gk USING (key, n))"""
 _ENUM = "sp AS (SELECT sent_id, b, unnest(range(b + 1, least(n, b + {k}) + 1)) AS e FROM (SELECT sent_id, len(words) AS n, unnest(range(len(words))) AS b FROM one))"
 _F = f"WITH {TOK}, f AS (SELECT sent_id AS context, lower(word) AS feature FROM tok)"
-_BASE = f"""WITH {TAGGED}, c AS (SELECT word, tag, count(*) AS n FROM tagged WHERE sent_id % 2 = 0 GROUP BY 1, 2),
+_BASE = f"""WITH {TAGGED}, c AS (SELECT word, tag, count(*) AS n FROM tagged WHERE sent_id NOT IN (SELECT sent_id FROM held) GROUP BY 1, 2),
  best AS (SELECT word, tag AS pred FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, tag) = 1),
- p AS (SELECT sent_id, pos, tag AS gold, coalesce(pred, 'NN') AS pred FROM tagged LEFT JOIN best USING (word) WHERE sent_id % 2 = 1)"""
+ p AS (SELECT sent_id, pos, tag AS gold, coalesce(pred, 'NN') AS pred FROM tagged LEFT JOIN best USING (word) WHERE sent_id IN (SELECT sent_id FROM held))"""
 _LW = f"WITH {TAGGED}, c AS (SELECT tag, word, count(*) AS n FROM tagged GROUP BY 1, 2)"
 _BINS = "CAST(CASE WHEN {x} <= 5 THEN {x} WHEN {x} <= 10 THEN 6 WHEN {x} <= 20 THEN 7 ELSE 8 END AS INT)"
 _BE = 'b AS "begin", e AS "end"'
@@ -295,7 +295,7 @@ SQL = {
  SELECT prev, cur, n, round(ln(n / sum(n) OVER (PARTITION BY prev)), 6) AS logp FROM c""",
     "tagging_eval": f"{_BASE}, s AS (SELECT sent_id, count(*) AS n, count(*) FILTER (gold = pred) AS r FROM p GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(r) AS BIGINT) AS n_right, count(*) AS n_sentences, count(*) FILTER (n = r) AS n_exact FROM s",
     "confusion_matrix": f"{_BASE} SELECT gold, pred, count(*) AS n FROM p GROUP BY 1, 2",
-    "segmentation_prf": f"""WITH {_GAZ}, g AS (SELECT DISTINCT sent_id, label, b, e FROM seg WHERE sent_id % 2 = 1), p AS (SELECT DISTINCT sent_id, type AS label, b, e FROM gs),
+    "segmentation_prf": f"""WITH {_GAZ}, g AS (SELECT DISTINCT sent_id, label, b, e FROM seg WHERE sent_id IN (SELECT sent_id FROM held)), p AS (SELECT DISTINCT sent_id, type AS label, b, e FROM gs),
  u AS (SELECT coalesce(g.label, p.label) AS label, g.sent_id IS NOT NULL AS ig, p.sent_id IS NOT NULL AS ip FROM g FULL JOIN p ON g.sent_id = p.sent_id AND g.label = p.label AND g.b = p.b AND g.e = p.e),
  c AS (SELECT label, count(*) FILTER (ig) AS n_gold, count(*) FILTER (ip) AS n_guess, count(*) FILTER (ig AND ip) AS n_right FROM u GROUP BY 1)
  SELECT *, round(CASE WHEN n_guess = 0 THEN 1.0 ELSE n_right / n_guess END, 6) AS precision, round(CASE WHEN n_gold = 0 THEN 1.0 ELSE n_right / n_gold END, 6) AS recall, round(2 * n_right / (n_gold + n_guess), 6) AS f1 FROM c""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import maths
 from lexiframe.functions import words as W
 from lexiframe.operators import wordfeats as wf
-from lexiframe.plans.common import TAGGED, TOK, tagged, tokens
+from lexiframe.plans.common import TAGGED, TOK, held_out, tagged, tokens, training
 from lexiframe.session import table
 
 
@@ -162,8 +162,8 @@ def signature_lexicon(spark, d):
 
 def backoff_lookup(spark, d):
     t = tagged(spark, d)
-    lex = wf.signature_lexicon(t.where("pmod(sent_id, 2) = 0"))
-    words = t.where("pmod(sent_id, 2) = 1").select("word").distinct()
+    lex = wf.signature_lexicon(training(t, spark, d))
+    words = held_out(t, spark, d).select("word").distinct()
     return wf.backoff_lookup(words, lex, F.array(F.lit("*"))).select("word", F.array_join("tags", " ").alias("tags"))
 
 
@@ -267,6 +267,6 @@ SQL = {
     "open_class_tags": f"""WITH {TAGGED}, op AS (SELECT tag FROM tagged GROUP BY 1 HAVING count(DISTINCT word) > 50), w AS (SELECT word, count(*) AS n FROM tagged GROUP BY 1),
  a AS (SELECT DISTINCT word, tag FROM tagged UNION SELECT w.word, op.tag FROM w, op WHERE w.n < 10) SELECT word, string_agg(tag, ' ' ORDER BY tag) AS tags FROM a GROUP BY 1""",
     "signature_lexicon": f"WITH {TAGGED}, src AS (SELECT * FROM tagged), cnt AS (SELECT word, count(*) AS n FROM tagged GROUP BY 1), {_LEX} SELECT key, tags FROM lex",
-    "backoff_lookup": f"""WITH {TAGGED}, src AS (SELECT * FROM tagged WHERE sent_id % 2 = 0), cnt AS (SELECT word, count(*) AS n FROM src GROUP BY 1), {_LEX},
- w AS (SELECT DISTINCT word FROM tagged WHERE sent_id % 2 = 1) SELECT w.word, coalesce(a.tags, b.tags, '*') AS tags FROM w LEFT JOIN lex a ON w.word = a.key LEFT JOIN lex b ON {_class('w.word')} = b.key""",
+    "backoff_lookup": f"""WITH {TAGGED}, src AS (SELECT * FROM tagged WHERE sent_id NOT IN (SELECT sent_id FROM held)), cnt AS (SELECT word, count(*) AS n FROM src GROUP BY 1), {_LEX},
+ w AS (SELECT DISTINCT word FROM tagged WHERE sent_id IN (SELECT sent_id FROM held)) SELECT w.word, coalesce(a.tags, b.tags, '*') AS tags FROM w LEFT JOIN lex a ON w.word = a.key LEFT JOIN lex b ON {_class('w.word')} = b.key""",
 }
