@@ -4,9 +4,9 @@ A text is cut into units (lines; long lines at sentence ends, long stretches wit
 number of words). For every unit one pass counts its words, function words, words that the document
 repeats, its most repeated word, links, separators and prices. The usual share of function words is
 then taken per language over all documents, and thresholds follow from it. A unit is spam when it is
-a link without a sentence around it, a run of separated labels, a price line, one word over and
-over, or a run of repeated words that misses the language's function words. A document is spam when
-more than half of its words stand in such units.
+a link without a sentence around it, a repeated line without function words, a run of separated
+labels, a price line, one word over and over, or a run of repeated words that misses the language's
+function words. A document is spam when more than half of its words stand in such units.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ UNIT = 30
 REPEATED_SHARE, REPEATED_TIMES = 0.02, 4
 #: Share of the usual function words below which a unit misses them.
 MISSING = 0.35
+#: A unit without function words that stands in a document so often is a repeated line.
+SAME_TIMES = 3
 #: Usual share at least, where a language has too few texts (or only spam) to tell it.
 LEAST_USUAL = 0.05
 #: Of a unit's words: repeated ones in a run without function words; the top word in stuffed units.
@@ -66,7 +68,7 @@ _CODE = re.compile(r"[a-z]\d+")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
 _NO_SPACES = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 
-COLUMNS = ("tokens", "words", "function", "repeated", "top", "links", "tags", "bars", "seps", "prices", "plain", "labels")
+COLUMNS = ("tokens", "words", "function", "repeated", "top", "links", "tags", "bars", "seps", "prices", "plain", "labels", "same")
 # labels is -1 in units of scripts without spaces
 
 
@@ -140,6 +142,7 @@ def measure(text: str | None, said: str | None) -> tuple[str, list[list[int]]]:
     fw = set(FUNCTION_WORDS.get(lang, "").split())
     n = sum(total.values())
     often = {w for w, c in total.items() if c >= REPEATED_TIMES and c >= REPEATED_SHARE * n and w not in fw and upper[w] < c}
+    lines = Counter(tuple(forms) for _, _, _, forms in seen)
     rows = []
     for p, rest, ws, forms in seen:
         own = Counter(f for f in forms if f not in fw and upper[f] < total[f])
@@ -158,6 +161,7 @@ def measure(text: str | None, said: str | None) -> tuple[str, list[list[int]]]:
                 len(_PRICE.findall(p)),
                 plain,
                 sum(upper[f] == total[f] for f in forms),
+                lines[tuple(forms)],
             ]
         )
     return lang, rows
@@ -174,12 +178,13 @@ def _measure_unspaced(text: str) -> tuple[str, list[list[int]]]:
     total = Counter(x for ps in pairs for x in ps)
     n = sum(total.values())
     often = {w for w, c in total.items() if c >= REPEATED_TIMES and c >= REPEATED_SHARE * n}
+    lines = Counter(p.strip() for p in parts)
     rows = []
     for p, ps in zip(parts, pairs):
         rest = _HASHTAG.sub(" ", _URL.sub(" ", p))
         top = max(Counter(ps).values(), default=0)
         function = len(_PARTICLE[lang].findall(p))
-        rows.append([len("".join(p.split())), len(ps), function, sum(x in often for x in ps), top, len(_URL.findall(p)), len(_HASHTAG.findall(p)), len(_BAR.findall(p)), len(_SEP.findall(rest)), len(_PRICE.findall(p)), len(rest.split()), -1])
+        rows.append([len("".join(p.split())), len(ps), function, sum(x in often for x in ps), top, len(_URL.findall(p)), len(_HASHTAG.findall(p)), len(_BAR.findall(p)), len(_SEP.findall(rest)), len(_PRICE.findall(p)), len(rest.split()), -1, lines[p.strip()]])
     return lang, rows
 
 
@@ -198,7 +203,8 @@ def verdict(rows: np.ndarray, doc: np.ndarray, usual: np.ndarray) -> np.ndarray:
     stuffed = (c["top"] >= TOP_TIMES) & (c["top"] >= TOP_SHARE * words) & (c["repeated"] >= RUN_SHARE * words)
     run = lacks & (c["words"] >= 6) & (c["repeated"] >= RUN_SHARE * words) & (c["labels"] < 0.3 * words)
     pairs = (c["top"] >= TOP_TIMES) & (c["top"] >= TOP_PAIR_SHARE * words) & (c["repeated"] >= RUN_SHARE * words) & lacks
-    spam = link | tags | np.where(unspaced, pairs, bars | price | stuffed | run)
+    again = (c["same"] >= SAME_TIMES) & lacks & (c["words"] >= 4) & (c["labels"] < 0.3 * words)
+    spam = link | tags | again | np.where(unspaced, pairs, bars | price | stuffed | run)
     # a short unit between two spam units of its document goes with them
     if len(spam) > 2:
         between = np.zeros(len(spam), dtype=bool)
