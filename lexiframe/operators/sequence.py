@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.session import spread
+
 NEG = -1e30
 
 
@@ -197,7 +199,8 @@ def decode(tokens: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], mo
         trans[of.get(r["prev"], len(labels)), of[r["cur"]]] = r["score"]
     base = np.array([unknown[y] for y in labels])
     known = e.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("tag", "score"))).alias("scores"))
-    s = tokens.join(known, "word", "left").groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("scores").alias("m")))).alias("a"))
+    # a stated number of partitions, as the kernels are costly and the rows small
+    s = spread(tokens.join(known, "word", "left"), "sent_id").groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("scores").alias("m")))).alias("a"))
     s = s.select("sent_id", F.col("a.pos").alias("pos"), F.transform("a", lambda x: F.to_json(F.map_from_entries(x["m"]))).alias("scores"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +209,7 @@ def decode(tokens: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], mo
         for b in batches:
             out: dict[str, list] = {"sent_id": [], "pos": [], "tag": [], "prob": []}
             for sid, pos, scores in zip(b["sent_id"], b["pos"], b["scores"]):
-                emit = np.tile(base, (len(pos), 1)) if len(pos) else np.zeros((0, len(labels)))
+                emit = np.tile(base, (len(pos), 1))
                 for i, x in enumerate(scores):
                     if x:
                         emit[i] = NEG / 1e25
