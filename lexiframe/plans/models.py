@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.operators import evaluation, parsing, sequence, trees
 from lexiframe.plans.common import ONE, TAGGED, held_out, one_sentences, tagged, tokens, training
-from lexiframe.session import table
+from lexiframe.session import cut
 
 
 def _trees(spark, d):
@@ -75,8 +75,8 @@ def bracket_prf(spark, d):
 
 
 def _hmm(spark, d):
-    t = tagged(spark, d)
-    return sequence.hmm_tables(training(t, spark, d)), held_out(t, spark, d)
+    """Tables from the tagged tokens of the training sentences, which are joined once for all three."""
+    return sequence.hmm_tables(cut(training(tagged(spark, d), spark, d)))
 
 
 def hmm_emissions(spark, d):
@@ -84,18 +84,17 @@ def hmm_emissions(spark, d):
 
 
 def hmm_viterbi(spark, d):
-    tables, odd = _hmm(spark, d)
-    return sequence.decode(odd.select("sent_id", "pos", "word"), tables)
+    """Tags of every token of all sentences."""
+    return sequence.decode(tokens(spark, d), _hmm(spark, d))
 
 
 def crf_posterior(spark, d):
-    tables, odd = _hmm(spark, d)
-    return sequence.decode(odd.select("sent_id", "pos", "word"), tables, "posterior")
+    return sequence.decode(tokens(spark, d), _hmm(spark, d), "posterior")
 
 
 def hmm_accuracy(spark, d):
-    tables, odd = _hmm(spark, d)
-    p = sequence.decode(odd.select("sent_id", "pos", "word"), tables).select("sent_id", "pos", F.col("tag").alias("pred"))
+    odd = held_out(tagged(spark, d), spark, d)
+    p = sequence.decode(odd.select("sent_id", "pos", "word"), _hmm(spark, d)).select("sent_id", "pos", F.col("tag").alias("pred"))
     return evaluation.tagging(odd.select("sent_id", "pos", F.col("tag").alias("gold")).join(p, ["sent_id", "pos"]))
 
 
@@ -105,36 +104,33 @@ def pcfg_rules(spark, d):
 
 
 def _parser(spark, d):
-    """Grammar and word scores from the training sentences, tokens of the held-out ones that have a tree."""
-    t = training(tagged(spark, d), spark, d)
-    tr, em, un = sequence.hmm_tables(t)
+    """Grammar and word scores from the training sentences."""
+    _, em, un = _hmm(spark, d)
     # unknown words get the open classes: the tags of most different words
     opened = {r["tag"] for r in em.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(6).collect()}
     unknown = {r["tag"]: r["score"] for r in un.collect() if r["tag"] in opened}
     g = parsing.grammar(parsing.extract(training(_trees(spark, d), spark, d)), [r[0] for r in un.select('tag').collect()])
-    odd = held_out(_trees(spark, d), spark, d).where("tree is not null")
-    return g, em, unknown, tokens(spark, d).join(odd.select("sent_id"), "sent_id", "left_semi"), odd
+    return g, em, unknown
 
 
 def pcfg_parse(spark, d):
-    g, em, un, toks, _ = _parser(spark, d)
-    return parsing.parse(toks, g, em, un)
+    """Trees of all sentences, also of those without a gold tree."""
+    return parsing.parse(tokens(spark, d), *_parser(spark, d))
 
 
 def pcfg_max_constituent(spark, d):
-    g, em, un, toks, _ = _parser(spark, d)
-    return parsing.parse(toks, g, em, un, "constituent")
+    return parsing.parse(tokens(spark, d), *_parser(spark, d), "constituent")
 
 
 def pcfg_kbest(spark, d):
-    g, em, un, toks, _ = _parser(spark, d)
-    return parsing.parse(toks, g, em, un, "kbest")
+    return parsing.parse(tokens(spark, d), *_parser(spark, d), "kbest")
 
 
 def parse_eval(spark, d):
     """Labelled precision, recall and F1 of the parser on the held-out sentences."""
-    g, em, un, toks, odd = _parser(spark, d)
-    guess = trees.node_table(parsing.parse(toks, g, em, un)).where("word is null")
+    odd = held_out(_trees(spark, d), spark, d).where("tree is not null")
+    toks = tokens(spark, d).join(odd.select("sent_id"), "sent_id", "left_semi")
+    guess = trees.node_table(parsing.parse(toks, *_parser(spark, d))).where("word is null")
     gold = trees.node_table(odd).where("word is null")
     return evaluation.precision_recall(gold, guess, ["sent_id", "label", "begin", "end"])
 

@@ -105,12 +105,14 @@ def _gazetteer(spark, d):
 
 
 def gazetteer_word(spark, d):
-    g = spans.gazetteer_words(held_out(tokens(spark, d), spark, d), _gazetteer(spark, d))
+    """Types of the tokens of all sentences; the SQL statement looks up the held-out ones only."""
+    g = spans.gazetteer_words(tokens(spark, d), _gazetteer(spark, d))
     return g.select("sent_id", "pos", F.array_join("types", " ").alias("types"))
 
 
 def gazetteer_span(spark, d):
-    return spans.gazetteer_spans(held_out(tokens(spark, d), spark, d), _gazetteer(spark, d))
+    """Entries in all sentences; the SQL statement looks at the held-out ones only."""
+    return spans.gazetteer_spans(tokens(spark, d), _gazetteer(spark, d))
 
 
 def _features(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import maths
 from lexiframe.functions import words as W
 from lexiframe.operators import wordfeats as wf
-from lexiframe.plans.common import TAGGED, TOK, held_out, tagged, tokens, training
+from lexiframe.plans.common import TAGGED, TOK, tagged, tokens, training
 from lexiframe.session import table
 
 
@@ -161,10 +161,9 @@ def signature_lexicon(spark, d):
 
 
 def backoff_lookup(spark, d):
-    t = tagged(spark, d)
-    lex = wf.signature_lexicon(training(t, spark, d))
-    words = held_out(t, spark, d).select("word").distinct()
-    return wf.backoff_lookup(words, lex, F.array(F.lit("*"))).select("word", F.array_join("tags", " ").alias("tags"))
+    """Tags of every word of the sentences; the SQL statement looks up those of the held-out ones only."""
+    lex = wf.signature_lexicon(training(tagged(spark, d), spark, d))
+    return wf.backoff_lookup(_vocabulary(spark, d), lex, F.array(F.lit("*"))).select("word", F.array_join("tags", " ").alias("tags"))
 
 
 QUERIES = {f.__name__: f for f in (
