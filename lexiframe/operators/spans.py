@@ -65,11 +65,12 @@ def flat_tags(tokens: DataFrame, segments: DataFrame) -> DataFrame:
     return tokens.select("sent_id", "pos").join(marks, ["sent_id", "pos"], "left").select("sent_id", "pos", F.coalesce("label", F.lit("O")).alias("label"))
 
 
-def enumerate_spans(sentences: DataFrame, longest: int) -> DataFrame:
-    """(sent_id, begin, end): all spans of up to `longest` tokens."""
+def enumerate_spans(sentences: DataFrame, longest: int | None = None) -> DataFrame:
+    """(sent_id, begin, end): all spans, or those of up to `longest` tokens."""
     s = sentences.where(F.size("words") > 0).select("sent_id", F.size("words").alias("n"))
     s = s.select("sent_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("begin"))
-    return s.select("sent_id", "begin", F.explode(F.sequence(F.col("begin") + 1, F.least(F.col("n"), F.col("begin") + longest))).alias("end"))
+    last = F.col("n") if longest is None else F.least(F.col("n"), F.col("begin") + longest)
+    return s.select("sent_id", "begin", F.explode(F.sequence(F.col("begin") + 1, last)).alias("end"))
 
 
 def char_bin(w: Column) -> Column:

@@ -43,12 +43,20 @@ def max_segment_length(spark, d):
     return _segments(spark, d).groupBy("label").agg(F.max(F.col("end") - F.col("begin")).alias("most"), F.count(F.lit(1)).alias("n"))
 
 
+def _candidates(spark, d):
+    """All spans of up to as many tokens as the longest entity has; of one token where there is none."""
+    most = _segments(spark, d).agg(F.max(F.col("end") - F.col("begin"))).first()[0]  # one number
+    return spans.enumerate_spans(one_sentences(spark, d), most or 1)
+
+
 def span_enumeration(spark, d):
-    return spans.enumerate_spans(one_sentences(spark, d), 3)
+    """Spans up to the longest entity's length; the SQL statement ends at 3 tokens."""
+    return _candidates(spark, d)
 
 
 def span_length_bins(spark, d):
-    s = spans.enumerate_spans(one_sentences(spark, d), 12)
+    """All spans by length; the SQL statement ends at 12 tokens."""
+    s = spans.enumerate_spans(one_sentences(spark, d))
     return s.groupBy(maths.distance_bin(F.col("end") - F.col("begin")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -66,15 +74,14 @@ def span_edges(spark, d):
 
 
 def span_mask(spark, d):
-    s = spans.enumerate_spans(one_sentences(spark, d), 4)
-    return spans.mask(_segments(spark, d), s)
+    return spans.mask(_segments(spark, d), _candidates(spark, d))
 
 
 def layered_span_mask(spark, d):
     seg = _segments(spark, d)
     unit = seg.select("sent_id", "label", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos")).distinct()
     longest = seg.groupBy("label").agg(F.max(F.col("end") - F.col("begin")).alias("most"))
-    s = spans.layered_mask(spans.enumerate_spans(one_sentences(spark, d), 4), unit, longest)
+    s = spans.layered_mask(_candidates(spark, d), unit, longest)
     return s.groupBy("label", (F.col("end") - F.col("begin")).alias("len")).agg(F.count(F.lit(1)).alias("n"))
 
 

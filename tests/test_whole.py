@@ -42,3 +42,24 @@ def test_backoff_takes_all_words(spark):
     assert {tuple(r) for r in got.join(held, "word", "left_semi").select(*cols).collect()} == want
     vocabulary = tokens(spark, DATA).select("word").distinct()
     assert got.count() == vocabulary.count() and vocabulary.join(got, "word", "left_anti").count() == 0
+
+
+@pytest.fixture(scope="session")
+def long_entity(spark, tmp_path_factory):
+    """One sentence of 25 words with an entity of 6 and one of 2 tokens."""
+    d = str(tmp_path_factory.mktemp("long"))
+    schema = "sent_id bigint, docid string, idx int, words array<string>, annotations struct<ner: array<struct<ner_type: string, span_begin: int, span_end: int>>>, section_id string, source string"
+    row = (1, "d", 0, [f"w{i}" for i in range(25)], ([("ORG", 2, 8), ("GPE", 10, 12)],), None, None)
+    spark.createDataFrame([row], schema).write.parquet(f"{d}/sentences.parquet")
+    return d
+
+
+def test_spans_have_no_fixed_length(spark, long_entity):
+    q = {n: entry.queries()[n](spark, long_entity) for n in ("span_enumeration", "span_length_bins", "span_mask", "layered_span_mask")}
+    want = {(1, b, e) for b in range(25) for e in range(b + 1, min(25, b + 6) + 1)}
+    assert {(r.sent_id, r.begin, r.end) for r in q["span_enumeration"].collect()} == want
+    bins = {r["bin"]: r.n for r in q["span_length_bins"].collect()}
+    assert bins == {1: 25, 2: 24, 3: 23, 4: 22, 5: 21, 6: 90, 7: 105, 8: 15}
+    assert {(r.begin, r.end) for r in q["span_mask"].collect()} == {(2, 8), (10, 12)}
+    layers = {(r.label, r.len): r.n for r in q["layered_span_mask"].collect()}
+    assert layers[("ORG", 1)] == 6 and layers[("ORG", 6)] == 5 and layers[("GPE", 2)] == 1 and ("GPE", 3) not in layers
