@@ -17,7 +17,14 @@ from lexiframe.streaming import segmenter
 
 
 def treebank_tokens(spark, d):
-    s = layers.sentences(documents(spark, d).where("lower(lang) = 'en'"))
+    """Tokens of every document, whatever language it says; the rules are those of English.
+
+    Sentences are those of the pattern segmenter, but a last one without a final mark comes out whole.
+    """
+    ws = layers.WS
+    text = documents(spark, d).withColumn("text", F.regexp_replace("text", rf"[{ws}]+\z", ""))
+    p = layers.pieces(text, rf"[^{ws}.!?][^.!?]++[.!?]|[^{ws}.!?][^.!?]*+\z|(?s:.)")
+    s = p.where((F.length("piece") > 1) | ~F.col("piece").rlike(rf"[{ws}.!?]")).select("doc_id", "begin", "end", F.col("piece").alias("sentence"))
     return treebank.tokens(s, "doc_id", "sentence", ("begin",))
 
 

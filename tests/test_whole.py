@@ -63,3 +63,13 @@ def test_spans_have_no_fixed_length(spark, long_entity):
     assert {(r.begin, r.end) for r in q["span_mask"].collect()} == {(2, 8), (10, 12)}
     layers = {(r.label, r.len): r.n for r in q["layered_span_mask"].collect()}
     assert layers[("ORG", 1)] == 6 and layers[("ORG", 6)] == 5 and layers[("GPE", 2)] == 1 and ("GPE", 3) not in layers
+
+
+def test_treebank_takes_all_languages(spark, tmp_path):
+    rows = [(1, "We can't go.", "en"), (2, "We can't go.", None), (3, "We can't go.", "und"), (4, "Es regnet.", "DE"), (7, "No stop here \n\n", "th"), (5, None, "en"), (6, "  ", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "string(null) source", "string(null) genre")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in entry.queries()["treebank_tokens"](spark, str(tmp_path)).orderBy("doc_id", "begin", "i").collect():
+        got.setdefault(r.doc_id, []).append(r.token)
+    assert got == dict.fromkeys((1, 2, 3), ["We", "ca", "n't", "go", "."]) | {4: ["Es", "regnet", "."], 7: ["No", "stop", "here"]}
