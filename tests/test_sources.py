@@ -16,6 +16,8 @@ GOOD = 'd-1,3,"Ames, Jola",A dog .,DT NN .,PERSON:0:1,(S (DT A) (NN dog) (. .))'
         ('"a"b', "quoting"), (",1,s,a,b,,", "value"), ("d,x,s,a,b,,", "value"), ("d,-1,s,a,b,,", "value"), ("d,2147483648,s,a,b,,", "value"), ("d,2147483647,s,a,b,,", None),
         ("d,1,s,a  b,x y z,,", "value"), ("d,1,s,a b,x,,", "value"), ("d,1,s,,,,", "value"), ("d,1,s,a,b,PERSON:0:2,", "value"), ("d,1,s,a,b,THING:0:1,", "value"), ("d,1,s,a,b,person:0:1,", "value"),
         ("d,1,s,a,b,DATE:1:1,", "value"), ("d,1,s,a,b,DATE:0:1 ,", "value"), ("d,1,s,a,b,WORK_OF_ART:0:1,", None), ("d,1,s,a,b,,(S (X a)", "value"), ("d,1,s,a,b,,(S) (X)", "value"), ("d,1,s,a,b,, (S)", "value"),
+        (GOOD + "\r", "value"), ("d,1,s\rt,a,b,,", None), ('d,1,"s\r\nt",a,b,,', None), ("x\n0,EVIL,9,sp,a b,N V,,", "columns"), ("d,1,s\nt,a,b,,", None), ("d,1,s\x00,a,b,,", None),
+        ("\r\n", "columns"), ('d,1,"\r",a,b,,\n', "value"), ("d,1,\x01\x02,a,b,,", None), ("d,1,\ue000\r,a,b,,", None), ("d,1," + "long " * 700_000 + ",a,b,,", None),
         ("d,1,s,a,b,,x", "value"), ("d,00000000000000000001,s,a,b,,(S)", None),
     ],
 )
@@ -24,6 +26,32 @@ def test_reasons(line, reason):
     assert [g[0] for g in got] == [None, reason, None]
 
 
+def test_breaks_come_back_and_nothing_moves():
+    lines = [GOOD, 'd,1,"a\r\nb\x00",w,t,,', "x\n0,EVIL,9,sp,a b,N V,,", "e,2,s\rt\ue000,w,t,,"]
+    got = delimited.judge(lines, delimited._Reader())
+    assert [g[1] and (g[1][0], g[1][2]) for g in got] == [("d-1", "Ames, Jola"), ("d", "a\r\nb\x00"), None, ("e", "s\rt\ue000")]
+
+
+def test_a_failing_reader_is_survived():
+    class Failing(delimited._Reader):
+        def _scan(self, records):
+            if any("bad" in r for r in records):
+                raise RuntimeError("no")
+            return super()._scan(records)
+
+    lines = [GOOD, "bad,1,s,a,b,,", GOOD, "bad,1", 'bad,"x"y', GOOD]
+    assert [g[0] for g in delimited.judge(lines, Failing())] == [None, None, None, "columns", "quoting", None]
+
+
+@pytest.mark.parametrize("line", ["", "a", 'a,"b,c",d', '"x""y",,', ',,"', 'a"b', '"a"b,c', '"",""'])
+def test_split_fields_reads_back(line):
+    import csv
+
+    got = delimited.split_fields(line)
+    if got is not None and line:
+        assert list(got) == next(csv.reader([line], strict=True))
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "f", GOOD, 0), (2, "f", GOOD, 1), (3, "f", "bad", 2)], "row_id bigint, file_name string, line_text string, reason int")
     assert [tuple(r) for r in delimited.rejects(df).collect()] == [(3, "columns")]
