@@ -39,7 +39,7 @@ def word_class(w: Column) -> Column:
         .when(other, "-LC")
         .otherwise("")
     )
-    tail = F.when(low.endswith("s") & (F.length(low) >= 3), F.when(F.expr("true") & ~low.rlike(r"[siu]s$"), "-s").otherwise(""))
+    tail = F.when(low.endswith("s") & (F.length(low) >= 3), F.when(~low.rlike(r"[siu]s$"), "-s").otherwise(""))
     suffix = None
     for s in CLASS_SUFFIXES:
         cond = low.endswith(s)
@@ -72,7 +72,7 @@ def properties(w: Column) -> Column:
     all_caps = (caps >= 2) & ~lower & ~w.rlike(r"[^\p{L}]")
     acronym = all_caps & F.length(w).between(3, 5) | (F.contains(w, F.lit(".")) & ~lower & (caps >= 1) & ~digit & ~w.rlike(r"[^\p{L}.]") & (F.length(w) >= 2))
     init = w.rlike(r"^\p{Lu}")
-    year = F.coalesce(w.rlike(r"^[0-9]{4}$") & F.expr("true") & F.regexp_extract(w, r"^([0-9]{4})$", 1).try_cast("int").between(1400, 2299), F.lit(False))
+    year = F.coalesce(w.rlike(r"^[0-9]{4}$") & F.regexp_extract(w, r"^([0-9]{4})$", 1).try_cast("int").between(1400, 2299), F.lit(False))
     named = {
         "AllCaps": all_caps,
         "Dash": F.contains(w, F.lit("-")),
@@ -129,7 +129,7 @@ def label_parts(label: Column) -> Column:
     """STRUCT<base, index, functions> of a treebank label: cut at - = #, digits are an index."""
     parts = F.filter(F.split(F.when(label == "PRT|ADVP", "PRT").otherwise(label), "[-=#]"), lambda x: x != "")
     base = F.when(label.startswith("-"), label).otherwise(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("TOP")))
-    rest = F.when(label.startswith("-"), F.array().cast("array<string>")).otherwise(F.coalesce(F.slice(parts, 2, 50), F.array().cast("array<string>")))
+    rest = F.when(label.startswith("-"), F.array().cast("array<string>")).otherwise(F.coalesce(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array().cast("array<string>")))
     number = F.filter(rest, lambda x: x.rlike("^[0-9]+$"))
     return F.struct(
         base.alias("base"),

@@ -19,9 +19,10 @@ TOKEN = r"\p{L}+|\p{P}+|\p{N}+"
 def pieces(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, i, begin, end, piece): a text cut by a pattern whose alternatives cover every character.
 
-    The offsets are running sums of the pieces' lengths within a text: one shuffle on the id.
+    The offsets are running sums of the pieces' lengths within a text. The texts are shuffled by
+    their id before they are cut, so what moves is the input and not the pieces.
     """
-    found = df.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("i", "piece"))
+    found = df.repartition(id_col).select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("i", "piece"))
     w = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("int")
     return found.withColumn("begin", begin).withColumn("end", (F.col("begin") + F.length("piece")).cast("int"))
@@ -55,8 +56,9 @@ def lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def within(inner: DataFrame, outer: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of inner with outer_begin and outer_end of the outer region that covers them.
 
-    Outer regions don't overlap, so the one that could cover a row is the last to begin at or before
-    it: one sort per text instead of a join of all pairs. Rows that none covers are left out.
+    Where outer regions don't overlap, the one that could cover a row is the last to begin at or before
+    it: one sort per text instead of a join of all pairs. Rows that none covers are left out. For
+    regions that overlap see covering.
     """
     o = outer.select(id_col, F.col("begin").alias("at"), F.lit(0).alias("side"), F.struct("begin", "end").alias("o"), F.lit(None).cast(inner.select(F.struct(*inner.columns)).schema[0].dataType).alias("r"))
     i = inner.select(id_col, F.col("begin").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("struct<begin:int,end:int>").alias("o"), F.struct(*inner.columns).alias("r"))
@@ -65,6 +67,19 @@ def within(inner: DataFrame, outer: DataFrame, id_col: str = "doc_id") -> DataFr
     return both.where((F.col("side") == 1) & (F.col("cover.end") >= F.col("r.end"))).select("r.*", F.col("cover.begin").alias("outer_begin"), F.col("cover.end").alias("outer_end"))
 
 
+def covering(inner: DataFrame, outer: DataFrame, id_col: str = "doc_id", cell: int = 256) -> DataFrame:
+    """Rows of inner with outer_begin and outer_end of every outer region that covers them; outer
+    regions may overlap, and equal ones count once.
+
+    A region stands in each cell of offsets it touches, a row only in the cell of its begin, so both
+    sides meet by an equi-join on (id, cell) and no pair is found twice.
+    """
+    o = outer.select(id_col, F.col("begin").alias("outer_begin"), F.col("end").alias("outer_end")).distinct()
+    o = o.select("*", F.explode(F.sequence(F.floor(F.col("outer_begin") / cell), F.floor(F.col("outer_end") / cell))).alias("_cell"))
+    i = inner.withColumn("_cell", F.floor(F.col("begin") / cell))
+    return i.join(o, [id_col, "_cell"]).where("outer_begin <= begin and end <= outer_end").drop("_cell")
+
+
 def nearest(regions: DataFrame, layer: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, begin, end, preceding_end, following_begin): for each region the nearest annotation of
     the layer that ends at or before it, and the nearest that begins at or after its end."""

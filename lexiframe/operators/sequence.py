@@ -185,8 +185,8 @@ def hmm_tables(tagged: DataFrame, smooth_below: int = 10) -> tuple[DataFrame, Da
 
 
 def decode(tokens: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], mode: str = "viterbi") -> DataFrame:
-    """(sent_id, pos, tag, prob) for tokens (sent_id, pos, word): best labels, or with mode
-    `posterior` the likeliest label of each place; prob is the posterior of the given label.
+    """(sent_id, pos, tag) for tokens (sent_id, pos, word): best labels; with mode `posterior` the
+    likeliest label of each place and `prob`, its posterior.
 
     Emission scores come by a join on the word, so no worker holds the lexicon.
     """
@@ -197,32 +197,70 @@ def decode(tokens: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], mo
     trans = np.full((len(labels) + 1, len(labels)), -20.0)
     for r in trans_rows:
         trans[of.get(r["prev"], len(labels)), of[r["cur"]]] = r["score"]
-    base = np.array([unknown[y] for y in labels])
-    known = e.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("tag", "score"))).alias("scores"))
+    base = [float(unknown[y]) for y in labels]
+    # a word's scores as one vector; labels it was never seen with are barred
+    vector = F.transform(F.lit(labels), lambda y: F.coalesce(F.try_element_at("m", y), F.lit(NEG / 1e25)).cast("float"))
+    known = e.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("tag", "score"))).alias("m")).select("word", vector.alias("v"))
     # a stated number of partitions, as the kernels are costly and the rows small
-    s = spread(tokens.join(known, "word", "left"), "sent_id").groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("scores").alias("m")))).alias("a"))
-    s = s.select("sent_id", F.col("a.pos").alias("pos"), F.transform("a", lambda x: F.to_json(F.map_from_entries(x["m"]))).alias("scores"))
+    item = F.struct("pos", F.coalesce("v", F.lit(base).cast("array<float>")).alias("v"))
+    s = spread(tokens.join(known, "word", "left").select("sent_id", item.alias("x")), "sent_id").groupBy("sent_id").agg(F.array_sort(F.collect_list("x")).alias("a"))
+    s = s.select("sent_id", F.col("a.pos").alias("pos"), F.flatten("a.v").alias("scores"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         for b in batches:
-            out: dict[str, list] = {"sent_id": [], "pos": [], "tag": [], "prob": []}
-            for sid, pos, scores in zip(b["sent_id"], b["pos"], b["scores"]):
-                emit = np.tile(base, (len(pos), 1))
-                for i, x in enumerate(scores):
-                    if x:
-                        emit[i] = NEG / 1e25
-                        for y, v in json.loads(x).items():
-                            if y in of:
-                                emit[i, of[y]] = v
-                best = viterbi(emit, trans) if mode == "viterbi" else None
-                m, _ = marginals(emit, trans)
-                best = best or m.argmax(axis=1).tolist()
-                out["sent_id"] += [sid] * len(pos)
-                out["pos"] += list(pos)
-                out["tag"] += [labels[y] for y in best]
-                out["prob"] += [round(float(m[i, y]), 6) for i, y in enumerate(best)]
-            yield pd.DataFrame(out)
-
-    return s.mapInPandas(run, "sent_id bigint, pos int, tag string, prob double")
+            sizes = b["pos"].map(len).to_numpy()
+            out = []
+            for n in np.unique(sizes):  # sentences of one length go through the recursions together
+                rows = b[sizes == n]
+                for at in range(0, len(rows), 256):
+                    part = rows.iloc[at : at + 256]
+                    emit = np.stack(part["scores"].to_list()).astype(np.float64).reshape(len(part), int(n), len(labels))
+                    got: dict = {"sent_id": np.repeat(part["sent_id"].to_numpy(), n), "pos": np.concatenate(part["pos"].to_list())}
+                    if mode == "viterbi":
+                        best = batch_viterbi(emit, trans)
+                    else:
+                        m = batch_marginals(emit, trans)
+                        best = m.argmax(axis=2)
+                        got["prob"] = np.round(np.take_along_axis(m, best[..., None], axis=2).ravel(), 6)
+                    got["tag"] = names[best.ravel()]
+                    out.append(pd.DataFrame(got))
+            if out:
+                yield pd.concat(out)
+
+    names = np.array(labels, dtype=object)
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
+    return s.mapInPandas(run, f"sent_id {kinds['sent_id']}, pos int, tag string" + ("" if mode == "viterbi" else ", prob double"))
+
+
+def batch_viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """viterbi for (B, n, S) scores of sentences of one length: (B, n) labels."""
+    n = emit.shape[1]
+    back = np.zeros(emit.shape, dtype=np.int32)
+    s = trans[-1] + emit[:, 0]
+    for t in range(1, n):
+        c = s[:, :, None] + trans[:-1]
+        back[:, t] = c.argmax(axis=1)
+        s = np.take_along_axis(c, back[:, t][:, None, :].astype(np.int64), axis=1)[:, 0] + emit[:, t]
+    out = np.empty(emit.shape[:2], dtype=np.int64)
+    out[:, -1] = s.argmax(axis=1)
+    for t in range(n - 1, 0, -1):
+        out[:, t - 1] = np.take_along_axis(back[:, t], out[:, t][:, None], axis=1)[:, 0]
+    return out
+
+
+def batch_marginals(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """marginals for (B, n, S) scores: each step is one matrix product of scaled probabilities."""
+    n = emit.shape[1]
+    top = trans.max()
+    move = np.exp(trans[:-1] - top)
+    f, b = np.empty_like(emit), np.zeros_like(emit)
+    f[:, 0] = trans[-1] + emit[:, 0]
+    for t in range(1, n):
+        m = f[:, t - 1].max(axis=1, keepdims=True)
+        f[:, t] = np.log(np.exp(f[:, t - 1] - m) @ move + 1e-300) + m + top + emit[:, t]
+    for t in range(n - 2, -1, -1):
+        x = emit[:, t + 1] + b[:, t + 1]
+        m = x.max(axis=1, keepdims=True)
+        b[:, t] = np.log(np.exp(x - m) @ move.T + 1e-300) + m + top
+    z = log_sum(f[:, -1], 1)
+    return np.exp(f + b - z[:, None, None])

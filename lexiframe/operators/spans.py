@@ -138,14 +138,14 @@ def gazetteer_words(tokens: DataFrame, entries: DataFrame) -> DataFrame:
 def gazetteer_spans(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """(sent_id, begin, end, type): stretches of tokens that are a whole entry (type, words).
 
-    Joined on the entry's words as one key, per length that occurs among the entries.
+    A token opens one key per length that occurs among the entries; they are all joined at once.
     """
     keys = entries.select(F.array_join("words", " ").alias("key"), F.size("words").alias("n"), "type").groupBy("key", "n").agg(F.max("type").alias("type"))
-    sizes = [r[0] for r in keys.select("n").distinct().collect()]  # as many as there are lengths
-    out = None
-    for n in sorted(sizes):
-        a = F.collect_list("word").over(order().rowsBetween(0, n - 1))
-        t = tokens.withColumn("a", a).where(F.size("a") == n).select("sent_id", F.col("pos").alias("begin"), F.array_join("a", " ").alias("key"))
-        hit = t.join(keys.where(F.col("n") == n), "key").select("sent_id", "begin", (F.col("begin") + n).alias("end"), "type")
-        out = hit if out is None else out.unionByName(hit)
-    return out if out is not None else tokens.select("sent_id", F.col("pos").alias("begin"), F.col("pos").alias("end"), F.col("word").alias("type")).limit(0)
+    sizes = sorted(r[0] for r in keys.select("n").distinct().collect())  # as many as there are lengths
+    if not sizes:
+        return tokens.select("sent_id", F.col("pos").alias("begin"), F.col("pos").alias("end"), F.col("word").alias("type")).limit(0)
+    ahead = F.collect_list("word").over(order().rowsBetween(0, sizes[-1] - 1))
+    lengths = F.filter(F.lit(sizes), lambda n: n <= F.size("ahead"))
+    grams = F.transform(lengths, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ahead", F.lit(1), n), " ").alias("key")))
+    t = tokens.withColumn("ahead", ahead).select("sent_id", F.col("pos").alias("begin"), F.inline(grams))
+    return t.join(keys, ["key", "n"]).select("sent_id", "begin", (F.col("begin") + F.col("n")).alias("end"), "type")

@@ -22,8 +22,8 @@ EMPTY = "-NONE-"
 
 
 def read(text: str | None, root: str = "TOP") -> Tree | None:
-    """A tree of its bracket notation; None for null, blank and unbalanced texts. An outermost
-    bracket without a label gets the root's."""
+    """A tree of its bracket notation; None for null, blank and unbalanced texts and for nodes that
+    hold a word beside children or two words. An outermost bracket without a label gets the root's."""
     tokens = _TOKEN.findall(text or "")
     stack: list[list] = []
     done: Tree | None = None
@@ -42,6 +42,8 @@ def read(text: str | None, root: str = "TOP") -> Tree | None:
             if not stack:
                 return None
             label, kids, word = stack.pop()
+            if word is not None and kids:
+                return None
             node = (label, word) if word is not None else (label, kids)
             if stack:
                 stack[-1][1].append(node)
@@ -50,6 +52,8 @@ def read(text: str | None, root: str = "TOP") -> Tree | None:
         elif not stack:
             return None
         else:
+            if stack[-1][2] is not None:
+                return None
             stack[-1][2] = BRACKETS.get(t, t)
         i += 1
     return done if not stack else None
@@ -59,76 +63,116 @@ def is_leaf(t: Tree) -> bool:
     return isinstance(t[1], str)
 
 
-def render(t: Tree) -> str:
-    escape = {v: k for k, v in BRACKETS.items()}
-    if is_leaf(t):
-        return f"({t[0]} {escape.get(t[1], t[1])})"
-    return f"({t[0]} {' '.join(map(render, t[1]))})" if t[1] else f"({t[0]})"
+def fold(t: Tree, f: Callable[[Tree, list], object]):
+    """f(node, results of its children), bottom up and without recursion, so trees may be of any depth."""
+    todo: list[tuple[Tree, int]] = [(t, -1)]
+    done: list = []
+    while todo:
+        node, at = todo.pop()
+        if at < 0:
+            todo.append((node, len(done)))
+            if not is_leaf(node):
+                todo += [(k, -1) for k in reversed(node[1])]
+        else:
+            kids = done[at:]
+            del done[at:]
+            done.append(f(node, kids))
+    return done[0]
 
 
-def leaves(t: Tree) -> list[tuple[str, str]]:
-    """(tag, word) from left to right, empty elements left out."""
-    if is_leaf(t):
-        return [] if t[0] == EMPTY else [(t[0], t[1])]
-    return [x for k in t[1] for x in leaves(k)]
+def render(t: Tree) -> str:
+    escape = {v: k for k, v in BRACKETS.items()}
+    out: list[str] = []
+    todo: list = [t]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif is_leaf(x):
+            out.append(f"({x[0]} {escape.get(x[1], x[1])})")
+        elif not x[1]:
+            out.append(f"({x[0]})")
+        else:
+            out.append(f"({x[0]} ")
+            todo.append(")")
+            for i in range(len(x[1]) - 1, -1, -1):
+                todo.append(x[1][i])
+                if i:
+                    todo.append(" ")
+    return "".join(out)
 
 
 def preorder(t: Tree) -> Iterator[Tree]:
-    yield t
-    if not is_leaf(t):
-        for k in t[1]:
-            yield from preorder(k)
+    todo = [t]
+    while todo:
+        x = todo.pop()
+        yield x
+        if not is_leaf(x):
+            todo += reversed(x[1])
 
 
 def postorder(t: Tree) -> Iterator[Tree]:
-    if not is_leaf(t):
-        for k in t[1]:
-            yield from postorder(k)
-    yield t
+    todo = [(t, False)]
+    while todo:
+        x, seen = todo.pop()
+        if seen or is_leaf(x):
+            yield x
+        else:
+            todo.append((x, True))
+            todo += [(k, False) for k in reversed(x[1])]
+
+
+def leaves(t: Tree) -> list[tuple[str, str]]:
+    """(tag, word) from left to right, empty elements left out."""
+    return [(x[0], x[1]) for x in preorder(t) if is_leaf(x) and x[0] != EMPTY]
 
 
 def relabel(t: Tree, f: Callable[[str], str]) -> Tree:
-    return (f(t[0]), t[1]) if is_leaf(t) else (f(t[0]), [relabel(k, f) for k in t[1]])
+    return fold(t, lambda x, kids: (f(x[0]), x[1] if is_leaf(x) else kids))
 
 
 def spans(t: Tree) -> list[tuple[str, int, int, int, int, int, str | None]]:
     """(label, begin, end, parent's place, child number, depth, word) in preorder; empty elements
     have no width."""
-    out: list = []
-
-    def walk(x: Tree, at: int, parent: int, child: int, depth: int) -> int:
+    out: list[list] = []
+    todo: list[tuple[Tree, int, int, int]] = [(t, -1, 0, 0)]
+    at = 0
+    while todo:
+        x, parent, child, depth = todo.pop()
         here = len(out)
-        out.append(None)
+        out.append([x[0], at, at, parent, child, depth, None])
         if is_leaf(x):
-            end = at + (x[0] != EMPTY)
-            out[here] = (x[0], at, end, parent, child, depth, x[1])
-            return end
-        end = at
-        for i, k in enumerate(x[1]):
-            end = walk(k, end, here, i, depth + 1)
-        out[here] = (x[0], at, end, parent, child, depth, None)
-        return end
-
-    walk(t, 0, -1, 0, 0)
-    return out
+            at += x[0] != EMPTY
+            out[here][2], out[here][6] = at, x[1]
+        else:
+            todo += [(k, here, i, depth + 1) for i, k in reversed(list(enumerate(x[1])))]
+    for row in reversed(out):  # a node ends where the last node below it ends
+        if row[3] >= 0:
+            out[row[3]][2] = max(out[row[3]][2], row[2])
+    return [tuple(row) for row in out]
 
 
 def without_empty(t: Tree) -> Tree | None:
     """Without traces and the nodes that held nothing else."""
-    if is_leaf(t):
-        return None if t[0] == EMPTY else t
-    kids = [k for k in map(without_empty, t[1]) if k is not None]
-    return (t[0], kids) if kids else None
+
+    def keep(x: Tree, kids: list) -> Tree | None:
+        if is_leaf(x):
+            return None if x[0] == EMPTY else x
+        kids = [k for k in kids if k is not None]
+        return (x[0], kids) if kids else None
+
+    return fold(t, keep)
 
 
 def without_repeats(t: Tree) -> Tree:
     """An only child with its parent's label takes the parent's place."""
-    if is_leaf(t):
-        return t
-    kids = [without_repeats(k) for k in t[1]]
-    if len(kids) == 1 and kids[0][0] == t[0]:
-        return kids[0]
-    return (t[0], kids)
+
+    def merge(x: Tree, kids: list) -> Tree:
+        if is_leaf(x):
+            return x
+        return kids[0] if len(kids) == 1 and kids[0][0] == x[0] else (x[0], kids)
+
+    return fold(t, merge)
 
 
 def base_label(label: str) -> str:
@@ -144,105 +188,151 @@ def standardize(t: Tree) -> Tree | None:
 
 def annotate_parents(t: Tree, order: int = 1) -> Tree:
     """Labels of inner nodes gain those of their `order` nearest ancestors."""
-
-    def walk(x: Tree, above: tuple[str, ...]) -> Tree:
-        if is_leaf(x):
-            return x
-        name = "^".join((x[0], *above[:order]))
-        return (name, [walk(k, (x[0], *above)) for k in x[1]])
-
-    return walk(t, ())
+    rows = spans(t)
+    above: list[tuple[str, ...]] = []
+    for label, _, _, parent, *_ in rows:
+        above.append(() if parent < 0 else (rows[parent][0], *above[parent])[:order])
+    at = iter(_postorder_places(rows))
+
+    def build(x: Tree, kids: list) -> Tree:
+        i = next(at)
+        return x if is_leaf(x) else ("^".join((x[0], *above[i])), kids)
+
+    return fold(t, build)
+
+
+def _postorder_places(rows: list) -> list[int]:
+    """Preorder places in the order in which a bottom-up walk meets them."""
+    kids: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        kids.setdefault(r[3], []).append(i)
+    out, todo = [], [(0, False)]
+    while todo:
+        i, seen = todo.pop()
+        if seen:
+            out.append(i)
+        else:
+            todo.append((i, True))
+            todo += [(k, False) for k in reversed(kids.get(i, []))]
+    return out
 
 
 def binarize(t: Tree, head: Callable[[Tree], int] | None = None, horizontal: int = 2) -> Tree:
     """At most two children: children are peeled off outside the head, right ones first; inner
     nodes are @label with the last `horizontal` labels already peeled."""
-    if is_leaf(t):
-        return t
-    kids = [binarize(k, head, horizontal) for k in t[1]]
-    if len(kids) <= 2:
-        return (t[0], kids)
-    h = head(t) if head else 0
-
-    def build(lo: int, hi: int, seen: tuple[str, ...]) -> Tree:
-        name = "@" + t[0] + "".join("|" + s for s in seen[-horizontal:]) if seen else t[0]
-        if hi - lo == 1:
-            return kids[lo]
-        if hi - lo == 2:
-            return (name, kids[lo:hi])
-        if hi - 1 > h:
-            return (name, [build(lo, hi - 1, (*seen, "/" + base_label(kids[hi - 1][0]))), kids[hi - 1]])
-        return (name, [kids[lo], build(lo + 1, hi, (*seen, "\\" + base_label(kids[lo][0])))])
-
-    return build(0, len(kids), ())
+
+    def split(x: Tree, kids: list) -> Tree:
+        if is_leaf(x) or len(kids) <= 2:
+            return x if is_leaf(x) else (x[0], kids)
+        h = head(x) if head else 0
+        lo, hi, seen, peeled = 0, len(kids), (), []
+        while hi - lo > 2:
+            name = "@" + x[0] + "".join("|" + s for s in seen[-horizontal:]) if seen else x[0]
+            right = hi - 1 > h
+            one = kids[hi - 1] if right else kids[lo]
+            peeled.append((name, one, right))
+            seen = (*seen, ("/" if right else "\\") + base_label(one[0]))
+            lo, hi = (lo, hi - 1) if right else (lo + 1, hi)
+        out: Tree = ("@" + x[0] + "".join("|" + s for s in seen[-horizontal:]), kids[lo:hi])
+        for name, one, right in reversed(peeled):
+            out = (name, [out, one] if right else [one, out])
+        return out
+
+    return fold(t, split)
 
 
 def debinarize(t: Tree) -> Tree:
     """Inner @nodes dissolve into their parents."""
-    if is_leaf(t):
-        return t
-    kids = []
-    for k in map(debinarize, t[1]):
-        kids += k[1] if k[0].startswith("@") and not is_leaf(k) else [k]
-    return (t[0], kids)
+
+    def join(x: Tree, kids: list) -> Tree:
+        if is_leaf(x):
+            return x
+        flat: list = []
+        for k in kids:
+            flat += k[1] if k[0].startswith("@") and not is_leaf(k) else [k]
+        return (x[0], flat)
+
+    return fold(t, join)
 
 
 def collapse_unaries(t: Tree) -> Tree:
     """Chains of only children become one node, its label the chain joined by +."""
-    if is_leaf(t):
-        return t
-    label, kids = t[0], t[1]
-    while len(kids) == 1 and not is_leaf(kids[0]):
-        label, kids = f"{label}+{kids[0][0]}", kids[0][1]
-    return (label, [collapse_unaries(k) for k in kids])
 
+    def join(x: Tree, kids: list) -> Tree:
+        if is_leaf(x):
+            return x
+        if len(kids) == 1 and not is_leaf(kids[0]):
+            return (f"{x[0]}+{kids[0][0]}", kids[0][1])
+        return (x[0], kids)
 
-def expand_unaries(t: Tree) -> Tree:
-    if is_leaf(t):
-        return t
-    names = t[0].split("+")
-    out = (names[-1], [expand_unaries(k) for k in t[1]])
-    for n in reversed(names[:-1]):
-        out = (n, [out])
-    return out
+    return fold(t, join)
 
 
-# Head rules per category: (search from the left?, any of the set?, labels).
+def expand_unaries(t: Tree) -> Tree:
+    def part(x: Tree, kids: list) -> Tree:
+        if is_leaf(x):
+            return x
+        names = x[0].split("+")
+        out = (names[-1], kids)
+        for n in reversed(names[:-1]):
+            out = (n, [out])
+        return out
+
+    return fold(t, part)
+
+
+# Head rules per category: (search from the left?, any of the set?, labels); the last
+# resort of most categories is a list of all labels, searched from the right.
+ALL_LABELS = (
+    "ROOT TOP ADJP ADVP CONJP FRAG S INTJ LST NAC NX PP PRN PRT QP RRC S SBAR SBARQ SINV SQ UCP VP WHADJP WHADVP WHNP WHPP X NML NP "
+    "NN NNP NNPS NNS VB VBZ VBG VBD JJ JJR JJS CC VBP PRP PRP$ PRPS CD IN TO WDT WP WP$ WRB RB SYM RB UH RP RBR RBS DT"
+).split()
+_ANY_RIGHT = (False, False, tuple(ALL_LABELS))
+_ANY_LEFT = (True, False, tuple(ALL_LABELS))
+_NOUNS = [(False, True, ("NN", "NNP", "NNPS", "NNS", "NX", "POS", "JJR")), (True, False, ("NP",)), (False, False, ("CD",)), (False, True, ("JJ", "JJS", "RB", "QP"))]
 HEAD_RULES: dict[str, list[tuple[bool, bool, tuple[str, ...]]]] = {
-    "ADJP": [(True, False, ("NNS", "QP", "NN", "$", "ADVP", "JJ", "VBN", "VBG", "ADJP", "JJR", "NP", "JJS", "DT", "FW", "RBR", "RBS", "SBAR", "RB"))],
+    "": [(True, False, ("S", "SINV"))],
+    "ROOT": [(True, False, ("S", "SINV"))],
+    "TOP": [(True, False, ("S", "SINV"))],
+    "ADJP": [(True, False, ("NNS", "QP", "NN", "$", "JJ", "ADVP", "VBN", "VBG", "ADJP", "JJR", "NP", "JJS", "DT", "FW", "RBR", "RBS", "SBAR", "RB"))],
     "ADVP": [(False, False, ("RB", "RBR", "RBS", "FW", "ADVP", "TO", "CD", "JJR", "JJ", "IN", "NP", "JJS", "NN"))],
     "CONJP": [(False, False, ("CC", "RB", "IN"))],
-    "FRAG": [(False, False, ())],
-    "INTJ": [(True, False, ())],
-    "LST": [(False, False, ("LS", ":"))],
-    "NAC": [(True, False, ("NN", "NNS", "NNP", "NNPS", "NP", "NAC", "EX", "$", "CD", "QP", "PRP", "VBG", "JJ", "JJS", "JJR", "ADJP", "FW"))],
-    "NP": [(False, True, ("NN", "NNP", "NNPS", "NNS", "NX", "POS", "JJR")), (True, False, ("NP",)), (False, True, ("$", "ADJP", "PRN")), (False, True, ("CD",)), (False, True, ("JJ", "JJS", "RB", "QP"))],
-    "NX": [(False, True, ("NN", "NNP", "NNPS", "NNS", "NX", "POS", "JJR"))],
+    "FRAG": [(False, False, tuple(ALL_LABELS[:30]))],
+    "S": [(True, False, ("TO", "IN", "VP", "S", "SBAR", "ADJP", "UCP", "NP"))],
+    "INTJ": [_ANY_LEFT],
+    "LST": [(False, False, ("LS", ":")), _ANY_RIGHT],
+    "NAC": [(True, False, ("NN", "NNS", "NNP", "NNPS", "NAC", "EX", "$", "CD", "QP", "PRP", "VBG", "JJ", "JJS", "JJR", "ADJP", "FW"))],
+    "NX": [_ANY_LEFT],
     "PP": [(False, False, ("IN", "TO", "VBG", "VBN", "RP", "FW"))],
-    "PRN": [(True, False, ())],
+    "PRN": [_ANY_LEFT],
     "PRT": [(False, False, ("RP",))],
     "QP": [(True, False, ("$", "IN", "NNS", "NN", "JJ", "RB", "DT", "CD", "NCD", "QP", "JJR", "JJS"))],
     "RRC": [(False, False, ("VP", "NP", "ADVP", "ADJP", "PP"))],
-    "S": [(True, False, ("TO", "IN", "VP", "S", "SBAR", "ADJP", "UCP", "NP"))],
-    "SBAR": [(True, False, ("WHNP", "WHPP", "WHADVP", "WHADJP", "IN", "DT", "S", "SQ", "SINV", "SBAR", "FRAG"))],
+    "SBAR": [(True, False, ("WHNP", "WHPP", "WHADVP", "WHADJP", "IN", "DT", "S", "SQ", "SBAR", "FRAG"))],
     "SBARQ": [(True, False, ("SQ", "S", "SINV", "SBARQ", "FRAG"))],
     "SINV": [(True, False, ("VBZ", "VBD", "VBP", "VB", "MD", "VP", "S", "SINV", "ADJP", "NP"))],
     "SQ": [(True, False, ("VBZ", "VBD", "VBP", "VB", "MD", "VP", "SQ"))],
-    "UCP": [(False, False, ())],
-    "VP": [(True, False, ("TO", "VBD", "VBN", "MD", "VBZ", "VB", "VBG", "VBP", "VP", "ADJP", "NN", "NNS", "NP"))],
-    "WHADJP": [(True, False, ("CC", "WRB", "JJ", "ADJP"))],
+    "UCP": [_ANY_RIGHT],
+    "VP": [(True, False, ("TO", "VBD", "VBN", "MD", "VBZ", "VB", "VBG", "VBP", "AUX", "AUXG", "VP", "ADJP", "NN", "NNS", "NP"))],
+    "WHADJP": [(False, False, ("CC", "WRB", "JJ", "ADJP"))],
     "WHADVP": [(False, False, ("CC", "WRB"))],
     "WHNP": [(True, False, ("WDT", "WP", "WP$", "WHADJP", "WHPP", "WHNP"))],
     "WHPP": [(False, False, ("IN", "TO", "FW"))],
+    "X": [_ANY_RIGHT],
+    "NML": _NOUNS,
+    "NP": _NOUNS,
 }
 
 
 def head_child(t: Tree) -> int:
-    """Place of the head child: by the category's rules, else the first or last child as the last
-    rule searches."""
+    """Place of the head child: a child that is the binarized form of the category, else by the
+    category's rules, else by the list of all labels, else the first child."""
     kids = [base_label(k[0]) for k in t[1]]
-    rules = HEAD_RULES.get(base_label(t[0]), [(True, False, ())])
-    for from_left, any_of, labels in rules:
+    name = base_label(t[0])
+    plain = name.removeprefix("@")
+    if plain not in HEAD_RULES:
+        return 0
+    for from_left, any_of, labels in [(True, False, ("@" + plain,)), *HEAD_RULES[plain], _ANY_RIGHT]:
         places = range(len(kids)) if from_left else range(len(kids) - 1, -1, -1)
         if any_of:
             found = next((i for i in places if kids[i] in labels), None)
@@ -250,23 +340,22 @@ def head_child(t: Tree) -> int:
             found = next((i for name in labels for i in places if kids[i] == name), None)
         if found is not None:
             return found
-    return 0 if rules[-1][0] else len(kids) - 1
+    return 0
 
 
-def head_leaf(t: Tree, at: int = 0) -> tuple[int, list[tuple[int, int, str]]]:
+def head_leaf(t: Tree) -> tuple[int, list[tuple[int, int, str]]]:
     """(head position, arcs): arcs are (dependent, head, label of the dependent's phrase)."""
-    if is_leaf(t):
-        return at, []
     arcs: list[tuple[int, int, str]] = []
-    heads, here = [], at
-    for k in t[1]:
-        h, sub = head_leaf(k, here)
-        heads.append(h)
-        arcs += sub
-        here += len(leaves(k)) if not is_leaf(k) else 1
-    top = heads[head_child(t)]
-    arcs += [(h, top, k[0]) for k, h in zip(t[1], heads) if h != top]
-    return top, arcs
+    at = iter(range(1 << 62))
+
+    def up(x: Tree, heads: list[int]) -> int:
+        if is_leaf(x):
+            return next(at)
+        top = heads[head_child(x)]
+        arcs.extend((h, top, k[0]) for k, h in zip(x[1], heads) if h != top)
+        return top
+
+    return fold(t, up), arcs
 
 
 def dependencies(t: Tree) -> list[tuple[int, int, str]]:

@@ -48,9 +48,11 @@ def label_parts(spark, d):
 def _lines(spark, d):
     """The tagged sentences as lines of a column corpus: one file per section, blank lines between."""
     t = tagged(spark, d).join(one_sentences(spark, d).select("sent_id", F.coalesce("section_id", F.lit("none")).alias("file")), "sent_id").where("word <> '' and not contains(word, ' ')")
-    return t.select("file", (F.col("sent_id") * 1000 + F.col("pos")).alias("line_no"), F.concat_ws(" ", "word", W.shape(F.col("word")), "tag").alias("text"), "sent_id").unionByName(
-        t.select("file", (F.col("sent_id") * 1000 + 999).alias("line_no"), F.lit(" ").alias("text"), "sent_id").distinct()
-    ).drop("sent_id")
+    at = lambda pos: F.struct(F.col("sent_id").alias("sent_id"), pos.alias("pos")).alias("line_no")
+    blank = t.groupBy("file", "sent_id").agg((F.max("pos") + 1).alias("pos"))
+    return t.select("file", at(F.col("pos")), F.concat_ws(" ", "word", W.shape(F.col("word")), "tag").alias("text")).unionByName(
+        blank.select("file", at(F.col("pos")), F.lit(" ").alias("text"))
+    )
 
 
 def column_corpus(spark, d):

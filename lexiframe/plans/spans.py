@@ -156,9 +156,10 @@ def label_word_counts(spark, d):
 
 
 def marginal_counts(spark, d):
-    """Counts of each tag, each word, and all, as a rollup over both axes."""
-    t = tagged(spark, d).select("tag", F.lower("word").alias("word"))
-    return t.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("word").alias("n_words"))
+    """Sums of the tag by word counts over either axis and over both: one row per tag, per word, and one for all."""
+    c = tagged(spark, d).groupBy("tag", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    sums = c.groupingSets([[F.col("tag")], [F.col("word")], []], "tag", "word")
+    return sums.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_cells"))
 
 
 def log_normalize(spark, d):
@@ -297,7 +298,8 @@ SQL = {
     "segmented_index": f"""WITH {TAGGED}, a AS (SELECT 0 AS segment, tag AS feature FROM tagged GROUP BY 2), b AS (SELECT 1 AS segment, lower(word) AS feature FROM tagged GROUP BY 2 HAVING count(*) >= 5)
  SELECT segment, feature, row_number() OVER (ORDER BY segment, feature) - 1 AS id FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "label_word_counts": f"{_LW} SELECT tag, word, n FROM c",
-    "marginal_counts": f"WITH {TAGGED} SELECT tag, count(*) AS n, count(DISTINCT lower(word)) AS n_words FROM tagged GROUP BY 1",
+    "marginal_counts": f"""WITH {TAGGED}, c AS (SELECT tag, lower(word) AS word, count(*) AS n FROM tagged GROUP BY 1, 2) SELECT tag, NULL AS word, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_cells FROM c GROUP BY 1
+ UNION ALL SELECT NULL, word, CAST(sum(n) AS BIGINT), count(*) FROM c GROUP BY 2 UNION ALL SELECT NULL, NULL, CAST(sum(n) AS BIGINT), count(*) FROM c""",
     "log_normalize": f"{_LW} SELECT tag, word, round(ln(n / sum(n) OVER (PARTITION BY tag)), 6) AS logp FROM c",
     "most_common_label": f"{_LW} SELECT word, tag, n FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, tag) = 1",
     "tag_transitions": f"""WITH {TAG}, t AS (SELECT coalesce(lag(tag) OVER (PARTITION BY sent_id ORDER BY pos), '<s>') AS prev, tag AS cur FROM tag), c AS (SELECT prev, cur, count(*) AS n FROM t GROUP BY 1, 2)

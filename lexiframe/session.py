@@ -54,9 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests only) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where it may be unset, one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         d = _own_dirs.get(app) or "file://" + tempfile.mkdtemp(prefix="lexiframe-")
         _own_dirs[app] = d
