@@ -1,26 +1,44 @@
 """Same or near-same records across splits (problem 3).
 
-Every distinct word set gets a bit fingerprint of 128 bits in which each word sets one bit. Two sets
-with |A and B| / |A or B| >= t differ in at most (1 - t) / (1 + t) * (|A| + |B|) words, and each of
-these changes at most one bit, so the Hamming distance of the fingerprints can't exceed that radius:
-the radius loses nothing. The code blocks that are joined across splits are made of the words in
-the order of their rarity: of the |A| - ceil(t |A|) + l rarest words of each set, l or more must be
-common to both. For l = 2 each pair of these words is a block. Sets of more than LONG words use
-l = 1. Survivors of the radius are verified on the words themselves. The result is exact.
+Every distinct word set gets a bit code of BITS bits in which each word sets one bit. Two sets with
+|A and B| / |A or B| >= t differ in at most (1 - t) / (1 + t) * (|A| + |B|) words, and each of these
+changes at most one bit, so the Hamming distance of the codes can't exceed that radius r.
+
+The code's bits are permuted and cut into r + EQUAL segments; within the radius at least EQUAL
+segments of two codes are equal. The joined code blocks are grown along the first equal segments: a
+block is one segment; where a block is held by so many sets of both sides that it would give more
+than CROWD candidates per set, it is replaced by the blocks of two segments that begin with it, and
+those, again where needed, by blocks of EQUAL segments. Two codes see the same crowding of a block
+they share, so they meet at its finest crowded-or-not form, and no pair within the radius is lost.
+As the permutation depends on the radius, a set has blocks for every radius that its partners' sizes
+allow; radii above SMALL are rounded up in steps, so that the number of blocks is linear in its size.
+
+Candidates within the radius are verified on the words themselves; the result is exact.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.session import cut
+from lexiframe.session import cut, release
 
-#: Sets of up to so many words give pair blocks, those of at least t * LONG words give single blocks.
-LONG = 64
-#: A word of more than this share of all sets is common; there are at most mean-set-size / share of them.
-COMMON = 0.01
-EDGE = r"^[\s 　]+|[\s 　]+$"
+#: Bits of the code, and of its fold that goes along with the blocks.
+BITS, FOLD = 4096, 128
+#: Segments that are equal within the radius: the most that a block is made of.
+EQUAL = 3
+#: Candidates per set of a block above which it is refined.
+CROWD = 8
+#: Radii up to this have segments of their own; above it they are rounded up by a seventh at most.
+SMALL = 14
+#: Parts that a block of EQUAL segments is split into where it is still crowded.
+SALT = 64
+EDGE = r"^[\s 　]+|[\s 　]+$"
 
 
 def word_set(words: Column) -> Column:
@@ -35,9 +53,9 @@ def section_splits(portions: DataFrame) -> DataFrame:
     return p.where("section_id is not null and split is not null").distinct()
 
 
-def _bits(words: Column) -> list[Column]:
-    """Two 64-bit halves: a word sets the bit that its hash names."""
-    h = lambda w: F.pmod(F.xxhash64(w), F.lit(128)).cast("int")
+def _fold(words: Column) -> list[Column]:
+    """The code folded to two 64-bit halves: a word sets the bit that its hash names."""
+    h = lambda w: F.pmod(F.xxhash64(w), F.lit(FOLD)).cast("int")
     one = F.lit(1).cast("bigint")
 
     def half(lo: int) -> Column:
@@ -47,38 +65,127 @@ def _bits(words: Column) -> list[Column]:
     return [half(0), half(64)]
 
 
-def blocks(sets: DataFrame, threshold: float) -> DataFrame:
-    """(block, rep, in_train, in_eval, n, bits0, bits1) of sets (rep, words, n, in_train, in_eval)."""
-    pairs = sets.select("rep", F.explode("words").alias("word"))
-    df = cut(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    n_sets = max(1, sets.count())
-    common = df.where(F.col("df") > COMMON * n_sets)
-    rare = df.where(F.col("df") <= COMMON * n_sets)
-    # common words: few by their definition, so their table is sent to all; all others are joined by shuffle
-    known = pairs.join(F.broadcast(common.withColumnRenamed("df", "cdf")), "word", "left")
-    by_word = known.where("cdf is null").drop("cdf").join(rare, "word", "left").unionByName(known.where("cdf is not null").withColumnRenamed("cdf", "df"))
-    # a word of one set only can't be shared: it takes its place among the rarest, but makes no block
-    item = F.struct(F.coalesce("df", F.lit(1)).alias("df"), F.xxhash64("word").alias("h"))
-    ranked = by_word.groupBy("rep").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    full = sets.join(ranked, "rep")
-    need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
-    bits = _bits(F.col("words"))
-    full = full.select("rep", "in_train", "in_eval", "n", bits[0].alias("bits0"), bits[1].alias("bits1"), "items", need.alias("need"))
-
-    def shared(extra: int) -> Column:
-        head = F.slice("items", 1, (F.col("n") - F.col("need") + extra).cast("int"))
-        return F.transform(F.filter(head, lambda x: x["df"] > 1), lambda x: x["h"])
-
-    two = full.where(F.col("n") <= LONG).withColumn("p", shared(2))
-    two_keys = F.flatten(
-        F.transform(
-            F.col("p"),
-            lambda x, i: F.transform(F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0))), lambda y: F.xxhash64(F.lit(2), F.least(x, y), F.greatest(x, y))),
-        )
-    )
-    one = full.where(F.col("n") >= F.lit(threshold) * LONG).withColumn("p", shared(1))
-    keep = ["rep", "in_train", "in_eval", "n", "bits0", "bits1"]
-    return two.select(F.explode(two_keys).alias("block"), *keep).unionByName(one.select(F.explode(F.transform("p", lambda x: F.xxhash64(F.lit(1), x))).alias("block"), *keep))
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: near inputs get unrelated outputs."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def radii(threshold: float, largest: int) -> list[int]:
+    """The radii that have segments: all up to SMALL, then steps of a seventh, past those of the largest set."""
+    top = math.floor((1 - threshold) / (1 + threshold) * (largest + largest / threshold) + 1e-9)
+    out = list(range(SMALL + 1))
+    while out[-1] < top:
+        out.append(out[-1] + max(1, out[-1] // 7))
+    return out
+
+
+def segment_codes(starts: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
+    """(sets, radius + EQUAL): the code of every segment of every set; 0 for segments without a bit.
+
+    bits holds the bit numbers of all sets, starts where each set's begin. A segment's code is the
+    exclusive or of its bits' random keys.
+    """
+    m = radius + EQUAL
+    every = np.arange(BITS, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        segment = (_mix(every * np.uint64(0x9E3779B97F4A7C15) + np.uint64(radius + 1)) % np.uint64(m)).astype(np.int64)
+        key = _mix(every + np.uint64(1))
+    n = len(starts) - 1
+    row = np.repeat(np.arange(n), np.diff(starts))
+    out = np.zeros(n * m, dtype=np.uint64)
+    np.bitwise_xor.at(out, row * m + segment[bits], key[bits])
+    return out.reshape(n, m)
+
+
+def block_keys(codes: np.ndarray, radius: int, chain: list[np.ndarray]) -> np.ndarray:
+    """One key per row for the segments that the arrays of `chain` name, in this order."""
+    rows = np.arange(len(codes))
+    with np.errstate(over="ignore"):
+        h = np.full(len(codes), radius * 8 + len(chain), dtype=np.uint64)
+        for at in chain:
+            h = _mix(h * np.uint64(31) + codes[rows, at] + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return h.view(np.int64)
+
+
+_BLOCKS = "block bigint, rep bigint, chain array<int>, radius int"
+
+
+def _blocks(sets: DataFrame, all_radii: list[int], threshold: float, min_words: int) -> DataFrame:
+    """Blocks of sets (rep, n, bits, chain, radius): with an empty chain the first segments for all
+    radii of the set, else what follows the chain."""
+    c = (1 - threshold) / (1 + threshold)
+    levels = np.array(all_radii)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = b["n"].to_numpy().astype(np.float64)
+            bits = b["bits"].to_list()
+            if not len(bits):
+                continue
+            chains = np.array([list(x) for x in b["chain"]], dtype=np.int64).reshape(len(b), -1)
+            depth = chains.shape[1]
+            said = b["radius"].to_numpy()
+            least = np.maximum(np.ceil(threshold * n - 1e-9), min_words)
+            low = levels[np.searchsorted(levels, np.floor(c * (n + least) + 1e-9))]
+            high = levels[np.searchsorted(levels, np.floor(c * (n + np.floor(n / threshold + 1e-9)) + 1e-9))]
+            for radius in levels[(levels >= (low.min() if depth == 0 else said.min())) & (levels <= (high.max() if depth == 0 else said.max()))]:
+                rows = np.flatnonzero((low <= radius) & (radius <= high) if depth == 0 else said == radius)
+                if not len(rows):
+                    continue
+                starts = np.r_[0, np.cumsum([len(bits[i]) for i in rows])]
+                codes = segment_codes(starts, np.concatenate([bits[i] for i in rows]).astype(np.int64), int(radius))
+                # the next segment of a chain lies behind it and leaves room for those that must follow
+                first = chains[rows, -1] + 1 if depth else np.zeros(len(rows), dtype=np.int64)
+                last = int(radius) + depth
+                times = np.maximum(last - first + 1, 0)
+                at = np.repeat(np.arange(len(rows)), times)
+                nxt = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+                chain = [*(chains[rows[at], i] for i in range(depth)), nxt]
+                keys = block_keys(codes[at], int(radius), chain)
+                yield pd.DataFrame({"block": keys, "rep": b["rep"].to_numpy()[rows[at]], "chain": list(np.stack(chain, axis=1)), "radius": np.int32(radius)})
+
+    return sets.select("rep", "n", "bits", "chain", "radius").mapInPandas(run, _BLOCKS)
+
+
+def candidates(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
+    """(train_rep, eval_rep): distinct pairs of sets (rep, words, n, in_train, in_eval) whose folded
+    codes lie within the radius and that share a block; every pair that reaches the threshold is one."""
+    largest = sets.agg(F.max("n")).first()[0] or 0
+    all_radii = radii(threshold, largest)
+    bits = F.array_sort(F.array_distinct(F.transform("words", lambda w: F.pmod(F.xxhash64(F.lit(5), w), F.lit(BITS)).cast("int"))))
+    fold = _fold(F.col("words"))
+    coded = cut(sets.where("in_train or in_eval").select("rep", "n", "in_train", "in_eval", bits.alias("bits"), fold[0].alias("b0"), fold[1].alias("b1")))
+    slim = coded.select("rep", "n", "in_train", "in_eval", "b0", "b1")
+    todo = coded.select("rep", "n", "bits", F.array().cast("array<int>").alias("chain"), F.lit(0).alias("radius"))
+    scratch = [coded]
+    near = None
+    radius = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + F.lit(1e-9))
+    far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    for depth in range(1, EQUAL + 1):
+        b = cut(_blocks(todo, all_radii, threshold, min_words).join(slim, "rep"))
+        scratch.append(b)
+        held = b.groupBy("block").agg(F.count_if("in_train").alias("nt"), F.count_if("in_eval").alias("ne"))
+        crowded = F.col("nt") * F.col("ne") > CROWD * (F.col("nt") + F.col("ne"))
+        held = cut(held.where("nt > 0 and ne > 0").select("block", crowded.alias("crowded")))
+        scratch.append(held)
+        shared = b.join(held, "block")
+        final = shared if depth == EQUAL else shared.where("not crowded")
+        parts = F.when(F.col("crowded"), F.lit(SALT)).otherwise(F.lit(1))
+        left = final.where("in_train").select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("train_rep"), F.col("n").alias("na"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
+        right = final.where("in_eval").select("block", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("eval_rep"), F.col("n").alias("nb"), "b0", "b1")
+        met = left.join(right, ["block", "part"]).where((F.col("train_rep") != F.col("eval_rep")) & (far <= radius))
+        met = cut(met.select("train_rep", "eval_rep").distinct())
+        scratch.append(met)
+        near = met if near is None else near.unionByName(met)
+        if depth < EQUAL:
+            again = shared.where("crowded").select("rep", "chain", "radius")
+            todo = again.join(coded.select("rep", "n", "bits"), "rep")
+    out = cut(near.distinct())
+    for x in scratch:
+        release(x)
+    return out
 
 
 def overlaps(sentences: DataFrame, portions: DataFrame, threshold: float = 0.75, min_words: int = 10, train: str = "train") -> tuple[DataFrame, DataFrame]:
@@ -98,13 +205,7 @@ def overlaps(sentences: DataFrame, portions: DataFrame, threshold: float = 0.75,
     sets = s.groupBy("words").agg(F.min("sent_id").alias("rep"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
     sets = cut(sets.withColumn("n", F.size("words")))
     members = s.join(sets.select("words", "rep"), "words").select("rep", "sent_id", "split", "source")
-    b = blocks(sets, threshold)
-    left = b.where("in_train").select("block", F.col("rep").alias("train_rep"), F.col("n").alias("na"), F.col("bits0").alias("a0"), F.col("bits1").alias("a1"))
-    right = b.where("in_eval").select("block", F.col("rep").alias("eval_rep"), F.col("n").alias("nb"), F.col("bits0").alias("b0"), F.col("bits1").alias("b1"))
-    radius = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + F.lit(1e-9))
-    far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    near = left.join(right, "block").where((F.col("train_rep") != F.col("eval_rep")) & (far <= radius))
-    near = cut(near.select("train_rep", "eval_rep").distinct())
+    near = candidates(sets, threshold, min_words)
     wa = sets.select(F.col("rep").alias("train_rep"), F.col("words").alias("wa"))
     wb = sets.select(F.col("rep").alias("eval_rep"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
