@@ -38,12 +38,12 @@ CROWD = 8
 SMALL = 14
 #: Parts that a block of EQUAL segments is split into where it is still crowded.
 SALT = 64
-EDGE = r"^[\s 　]+|[\s 　]+$"
+EDGE = " \t\n\x0b\f\r\u00a0\u3000"
 
 
 def word_set(words: Column) -> Column:
     """Sorted distinct words, lower-cased, stripped, those without a letter or digit left out."""
-    clean = F.transform(words, lambda w: F.regexp_replace(F.lower(w), EDGE, ""))
+    clean = F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(EDGE)))
     return F.array_sort(F.array_distinct(F.filter(clean, lambda w: w.rlike(r"[\p{L}\p{N}]"))))
 
 
@@ -109,44 +109,54 @@ def block_keys(codes: np.ndarray, radius: int, chain: list[np.ndarray]) -> np.nd
     return h.view(np.int64)
 
 
-_BLOCKS = "block bigint, rep bigint, chain array<int>, radius int"
+#: An ask is a radius and the segments of a chain so far, each in so many bits.
+_WIDE = 18
+_ROW = ("rep", "n", "in_train", "in_eval", "b0", "b1")
+_BLOCKS = "block bigint, ask bigint, rep bigint, n int, in_train boolean, in_eval boolean, b0 bigint, b1 bigint"
 
 
-def _blocks(sets: DataFrame, all_radii: list[int], threshold: float, min_words: int) -> DataFrame:
-    """Blocks of sets (rep, n, bits, chain, radius): with an empty chain the first segments for all
-    radii of the set, else what follows the chain."""
+def _blocks(sets: DataFrame, depth: int, all_radii: list[int], threshold: float, min_words: int) -> DataFrame:
+    """Blocks of `depth` segments of sets (rep, n, in_train, in_eval, b0, b1, bits, asks), with the
+    ask that would refine them. At depth 1 a set asks for all its radii, else for those of `asks`."""
     c = (1 - threshold) / (1 + threshold)
     levels = np.array(all_radii)
 
+    def all_asks(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = np.maximum(np.ceil(threshold * n - 1e-9), min_words)
+        low = np.searchsorted(levels, np.floor(c * (n + least) + 1e-9))
+        high = np.searchsorted(levels, np.floor(c * (n + np.floor(n / threshold + 1e-9)) + 1e-9))
+        times = np.maximum(high - low + 1, 0)
+        at = np.repeat(np.arange(len(n)), times)
+        return at, levels[np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = b["n"].to_numpy().astype(np.float64)
-            bits = b["bits"].to_list()
-            if not len(bits):
+            if not len(b):
                 continue
-            chains = np.array([list(x) for x in b["chain"]], dtype=np.int64).reshape(len(b), -1)
-            depth = chains.shape[1]
-            said = b["radius"].to_numpy()
-            least = np.maximum(np.ceil(threshold * n - 1e-9), min_words)
-            low = levels[np.searchsorted(levels, np.floor(c * (n + least) + 1e-9))]
-            high = levels[np.searchsorted(levels, np.floor(c * (n + np.floor(n / threshold + 1e-9)) + 1e-9))]
-            for radius in levels[(levels >= (low.min() if depth == 0 else said.min())) & (levels <= (high.max() if depth == 0 else said.max()))]:
-                rows = np.flatnonzero((low <= radius) & (radius <= high) if depth == 0 else said == radius)
-                if not len(rows):
-                    continue
-                starts = np.r_[0, np.cumsum([len(bits[i]) for i in rows])]
-                codes = segment_codes(starts, np.concatenate([bits[i] for i in rows]).astype(np.int64), int(radius))
+            bits = b["bits"].to_list()
+            if depth == 1:
+                of, radius_of = all_asks(b["n"].to_numpy().astype(np.float64))
+                ask = radius_of << (_WIDE * (EQUAL - 1))
+            else:
+                of = np.repeat(np.arange(len(b)), b["asks"].map(len).to_numpy())
+                ask = np.concatenate(b["asks"].to_list())
+                radius_of = ask >> (_WIDE * (EQUAL - 1))
+            own = {k: b[k].to_numpy() for k in _ROW}
+            for radius in np.unique(radius_of):
+                rows = np.flatnonzero(radius_of == radius)
+                here, place = np.unique(of[rows], return_inverse=True)
+                codes = segment_codes(np.r_[0, np.cumsum([len(bits[i]) for i in here])], np.concatenate([bits[i] for i in here]).astype(np.int64), int(radius))
+                chain = [(ask[rows] >> (_WIDE * i)) & ((1 << _WIDE) - 1) for i in range(depth - 1)]
                 # the next segment of a chain lies behind it and leaves room for those that must follow
-                first = chains[rows, -1] + 1 if depth else np.zeros(len(rows), dtype=np.int64)
-                last = int(radius) + depth
-                times = np.maximum(last - first + 1, 0)
+                first = chain[-1] + 1 if chain else np.zeros(len(rows), dtype=np.int64)
+                times = np.maximum(int(radius) + depth - first, 0)
                 at = np.repeat(np.arange(len(rows)), times)
                 nxt = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
-                chain = [*(chains[rows[at], i] for i in range(depth)), nxt]
-                keys = block_keys(codes[at], int(radius), chain)
-                yield pd.DataFrame({"block": keys, "rep": b["rep"].to_numpy()[rows[at]], "chain": list(np.stack(chain, axis=1)), "radius": np.int32(radius)})
+                keys = block_keys(codes[place[at]], int(radius), [*(x[at] for x in chain), nxt])
+                finer = ask[rows][at] | nxt << (_WIDE * (depth - 1)) if depth < EQUAL else ask[rows][at]
+                yield pd.DataFrame({"block": keys, "ask": finer, **{k: v[here[place[at]]] for k, v in own.items()}})
 
-    return sets.select("rep", "n", "bits", "chain", "radius").mapInPandas(run, _BLOCKS)
+    return sets.mapInPandas(run, _BLOCKS)
 
 
 def candidates(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
@@ -156,32 +166,36 @@ def candidates(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
     all_radii = radii(threshold, largest)
     bits = F.array_sort(F.array_distinct(F.transform("words", lambda w: F.pmod(F.xxhash64(F.lit(5), w), F.lit(BITS)).cast("int"))))
     fold = _fold(F.col("words"))
-    coded = cut(sets.where("in_train or in_eval").select("rep", "n", "in_train", "in_eval", bits.alias("bits"), fold[0].alias("b0"), fold[1].alias("b1")))
-    slim = coded.select("rep", "n", "in_train", "in_eval", "b0", "b1")
-    todo = coded.select("rep", "n", "bits", F.array().cast("array<int>").alias("chain"), F.lit(0).alias("radius"))
+    coded = cut(sets.select("rep", "n", "in_train", "in_eval", fold[0].alias("b0"), fold[1].alias("b1"), bits.alias("bits")))
+    todo = coded
     scratch = [coded]
-    near = None
+    found_ = []
     radius = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + F.lit(1e-9))
     far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    # a pair belongs to the blocks of one radius: the least that is no smaller than its own
+    own = F.element_at(F.filter(F.lit(all_radii), lambda x: x >= radius), 1) == F.shiftright("ask", _WIDE * (EQUAL - 1))
     for depth in range(1, EQUAL + 1):
-        b = cut(_blocks(todo, all_radii, threshold, min_words).join(slim, "rep"))
-        scratch.append(b)
+        b = cut(_blocks(todo, depth, all_radii, threshold, min_words))
         held = b.groupBy("block").agg(F.count_if("in_train").alias("nt"), F.count_if("in_eval").alias("ne"))
         crowded = F.col("nt") * F.col("ne") > CROWD * (F.col("nt") + F.col("ne"))
         held = cut(held.where("nt > 0 and ne > 0").select("block", crowded.alias("crowded")))
-        scratch.append(held)
+        scratch += [b, held]
         shared = b.join(held, "block")
         final = shared if depth == EQUAL else shared.where("not crowded")
         parts = F.when(F.col("crowded"), F.lit(SALT)).otherwise(F.lit(1))
-        left = final.where("in_train").select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("train_rep"), F.col("n").alias("na"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
+        left = final.where("in_train").select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "ask", F.col("rep").alias("train_rep"), F.col("n").alias("na"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
         right = final.where("in_eval").select("block", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("eval_rep"), F.col("n").alias("nb"), "b0", "b1")
-        met = left.join(right, ["block", "part"]).where((F.col("train_rep") != F.col("eval_rep")) & (far <= radius))
+        met = left.join(right, ["block", "part"]).where((F.col("train_rep") != F.col("eval_rep")) & (far <= radius) & own)
         met = cut(met.select("train_rep", "eval_rep").distinct())
         scratch.append(met)
-        near = met if near is None else near.unionByName(met)
+        found_.append(met)
         if depth < EQUAL:
-            again = shared.where("crowded").select("rep", "chain", "radius")
-            todo = again.join(coded.select("rep", "n", "bits"), "rep")
+            # at most as many asks per set as it has blocks
+            again = shared.where("crowded").groupBy("rep").agg(F.collect_list("ask").alias("asks"))
+            todo = coded.join(again, "rep")
+    near = found_[0]
+    for met in found_[1:]:
+        near = near.unionByName(met)
     out = cut(near.distinct())
     for x in scratch:
         release(x)
