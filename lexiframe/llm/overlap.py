@@ -33,7 +33,7 @@ BITS, FOLD = 4096, 128
 #: Segments that are equal within the radius: the most that a block is made of.
 EQUAL = 3
 #: Candidates per set of a block above which it is refined.
-CROWD = 8
+CROWD = 64
 #: Radii up to this have segments of their own; above it they are rounded up by a seventh at most.
 SMALL = 14
 #: Parts that a block of EQUAL segments is split into where it is still crowded.
