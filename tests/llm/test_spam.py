@@ -39,6 +39,56 @@ def test_kinds(spark):
     assert s[107] == s[108] == s[109] == (0, 0) and len(s) == len(rows)
 
 
+PROSE = {
+    "ru": "Старый мост закрыли на ремонт, и жителям города приходилось обходить озеро. Никто не знал, когда его снова откроют. "
+    "В письме совета говорилось, что работы начались весной. Было неясно, почему строители ушли в июне. ",
+    "it": "Il vecchio ponte era chiuso per lavori e gli abitanti della città dovevano girare intorno al lago. Nessuno sapeva quando sarebbe stato riaperto. "
+    "Una lettera del consiglio diceva che i lavori erano cominciati in primavera. Non era chiaro perché gli operai fossero andati via a giugno. ",
+    "pl": "Stary most zamknięto z powodu remontu i mieszkańcy miasta musieli obchodzić jezioro. Nikt nie wiedział, kiedy zostanie znowu otwarty. "
+    "W liście rady napisano, że prace zaczęły się wiosną. Nie było jasne, dlaczego robotnicy odeszli w czerwcu. ",
+    "el": "Η παλιά γέφυρα έκλεισε για επισκευές και οι κάτοικοι της πόλης έπρεπε να περπατούν γύρω από τη λίμνη. Κανείς δεν ήξερε πότε θα άνοιγε ξανά. ",
+    "en": TEXT,
+}
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+
+@pytest.mark.parametrize("label", ["own", None, "en"])
+def test_prose_of_other_languages(spark, label):
+    """Single and repeated paragraphs of languages without a list, with and without the right label."""
+    rows = [(200 + i, TEXT, "en") for i in range(30)]
+    for i, (lang, t) in enumerate(PROSE.items()):
+        said = lang if label == "own" else label
+        rows += [(i, t, said), (10 + i, t * 2, said), (20 + i, (t + "\n") * 4, said), (30 + i, t * 9, said)]
+    assert spam.found(_docs(spark, rows)).count() == 0
+
+
+def test_a_language_is_learned(spark):
+    """Function words of a language without a list come from its documents, and its spam is found."""
+    verbs = "zamknięto otwarto malowano sprzedano kupiono widziano".split()
+    nouns = "most dom ogród zegar rynek okno list".split()
+    prose = [(i, " ".join(f"Nie było jasne, czy {nouns[(i + j) % 7]} i {nouns[(i * 3 + j + 1) % 7]} w mieście {verbs[(i + j) % 6]}, ale to się nie stało." for j in range(5)), "pl") for i in range(40)]
+    stuffed = "tanie buty buty kup buty online buty najlepsze buty promocja buty wyprzedaż tanie buty sklep buty rabat " * 5
+    bare = "buty rabat sklep zima ceny moda lato tanio buty rabat sklep zima ceny moda lato tanio nowe marki wygoda styl " * 4
+    df = _docs(spark, [*prose, (900, stuffed, "pl"), (901, bare, "pl")])
+    assert "nie" in spam.learn(df)["pl"] and {r.doc_id for r in spam.found(df).collect()} == {900, 901}
+
+
+def test_repeated_word_pairs(spark):
+    base = [(200 + i, f"{TEXT} It was seen by {i} of them.", "en") for i in range(30)]
+    pairs = "lamp shade desk lamp wall light desk lamp wall light lamp shade garden chair lamp shade garden chair desk lamp " * 4
+    assert {r.doc_id for r in spam.found(_docs(spark, [*base, (1, pairs, "en"), (2, pairs, "en")])).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("n", [1, 39, 41, 95, 400])
+def test_windows_cover_the_whole_line(n):
+    line = " ".join(f"w{i}" for i in range(n))
+    assert " ".join(spam.units(line)).split() == line.split()
+    assert "".join(spam.unspaced_units("词" * n)) == "词" * n
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([(1, STUFFED * 300, "en", 0)], "doc_id bigint, text string, lang string, units int")
     assert spam.found(df).count() == 1 and spam.found(df.limit(0)).count() == 0
