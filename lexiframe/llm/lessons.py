@@ -142,7 +142,35 @@ def _thai(r: random.Random) -> str:
     return r.choice([s, f"{s} {r.randint(1, 90)} เล่ม", f"{s}เป็นเวลา {r.randint(1, 90)} วัน"])
 
 
-_ALL = [_english] * 5 + [_german, _french, _spanish, _chinese, _japanese, _arabic, _hindi, _thai]
+def _lao(r: random.Random) -> str:
+    return _of([["ແມ່ຄ້າ", "ເພື່ອນບ້ານ", "ນັກຂຽນ"], ["ເປີດ", "ອ່ານ", "ເຫັນ"], ["ປຶ້ມ", "ຈົດໝາຍ", "ເຮືອນເກົ່າ"]], r, "")
+
+
+def _khmer(r: random.Random) -> str:
+    """Spaces part phrases; sentences end in a mark."""
+    s = [_of([["គ្រូ", "អ្នកជិតខាង", "អ្នកនិពន្ធ"], ["អាន", "បើក", "ឃើញ"], ["សៀវភៅ", "សំបុត្រ", "ផ្ទះចាស់"]], r, "") for _ in range(r.randint(1, 3))]
+    return " ".join(s) + r.choice(["។", "។", "៕"])
+
+
+def _burmese(r: random.Random) -> str:
+    s = [_of([["ဆရာမ", "အိမ်နီးချင်း", "စာရေးသူ"], ["စာအုပ်", "စာ", "အိမ်ဟောင်း"], ["ဖတ်သည်", "ဖွင့်သည်", "မြင်သည်"]], r, "") for _ in range(r.randint(1, 3))]
+    return r.choice([" ", "၊ "]).join(s) + "။"
+
+
+def _stray(r: random.Random) -> str:
+    """Quotation marks that are none: inches, apostrophes, and a quotation that nobody closed."""
+    n, v = r.choice(NOUNS), r.choice(VERBS)
+    return r.choice(
+        [
+            lambda: f"The {n} {v} a {r.randint(2, 30)}\" {n} in {r.choice(PLACES)}.",
+            lambda: f"In the ‘{r.randint(20, 90)}s the {n} {v} the {n}.",
+            lambda: f"They {v} rock ‘n’ roll near the {n}.",
+            lambda: f"The {n} {v} “the {n}.",
+        ]
+    )()
+
+
+_ALL = [_english] * 5 + [_german, _french, _spanish, _chinese, _japanese, _arabic, _hindi, _thai, _lao, _khmer, _burmese]
 _UNSPACED = (_chinese, _japanese)
 
 
@@ -151,7 +179,7 @@ def text(r: random.Random) -> tuple[str, list[int]]:
     make = r.choice(_ALL)
     out, ends = "", []
     for _ in range(r.randint(2, 7)):
-        s = make(r)
+        s = _stray(r) if make is _english and r.random() < 0.02 else make(r)
         if make is _english and r.random() < 0.12 and s[-1] in ".?!" and not s[0] in "“\"(" and "…" not in s:
             s = s.lower()
             if out.rstrip().endswith(("…", "...", "etc.", "”", "\"")):
@@ -160,7 +188,7 @@ def text(r: random.Random) -> tuple[str, list[int]]:
             glue = r.random()
             if make in _UNSPACED:
                 out += "" if glue < 0.85 else " "
-            elif make is _thai:
+            elif make in (_thai, _lao):
                 out += " "
             elif glue < 0.06 and make is _english and out[-1] == "." and out[-2].islower() and s[0].isupper() and not out.endswith(("etc.", "m.")):
                 out += ""

@@ -53,7 +53,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split(table(spark, d, "documents"), "doc_id", "text")
+    return sentences.split(table(spark, d, "documents"), "doc_id", "text", unique=True)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
