@@ -8,8 +8,11 @@ queries by one shuffle; within a leaf a matrix product finds candidates, which a
 their exact cosine in double precision.
 
 Equal vectors are one entry of the index; each stands for its smallest ids, which are all that can
-be among the nearest. Leaves that the sample shows to be heavy, because their points can't be told
-apart by planes, are cut into chunks that every query of the leaf visits.
+be among the nearest. Neighbouring leaves form regions; a vector is sent to a region once, with a mask
+of the leaves it visits there. The forest's size is bounded by the sample, so above it leaves grow
+with the collection; a leaf that has outgrown LEAF grows a tree of its own in the task that holds it,
+and its queries search that tree best first. The work of a query thus stays near VISITS * LEAF rows
+however large the collection is. With `exact` every query visits every leaf.
 """
 
 from __future__ import annotations
@@ -26,9 +29,13 @@ from lexiframe.session import cut
 
 #: Rows of the sample that the trees are fitted on, at most.
 SAMPLE = 32_768
-#: Rows of a leaf that trees aim at, and rows of a chunk of a heavy leaf.
-LEAF = 1_024
-CHUNK = 4_096
+#: Rows of a leaf that trees aim at; a leaf of more than GROWN times that grows a tree of its own, of
+#: whose leaves a query visits LOCAL_VISITS.
+LEAF, GROWN, LOCAL_VISITS = 1_024, 4, 6
+#: Ties of a query above which only the smallest ids among the highest cosines go on.
+CROWDED = 256
+#: Rows of a region that neighbouring leaves are put together to, and its leaves at most.
+REGION, REGION_LEAVES = 16_384, 62
 #: Trees, and leaves that each query visits (one of each tree among them). Of 120,000 vectors, pairs of
 #: a cosine of at least 0.85 are found with a recall of 0.995 at 14 visits (0.990 at 10).
 TREES = 4
@@ -44,11 +51,22 @@ class Tree:
     normals: np.ndarray
     offsets: np.ndarray
     below: np.ndarray
-    chunks: np.ndarray
+    rows: np.ndarray  # of the sample, per leaf
+
+    def walk(self) -> list[int]:
+        """Leaves from left to right, so that neighbours stand side by side."""
+        out, todo = [], [0 if len(self.normals) else -1]
+        while todo:
+            i = todo.pop()
+            if i < 0:
+                out.append(-1 - i)
+            else:
+                todo += [int(self.below[i, 1]), int(self.below[i, 0])]
+        return out
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """For each row, each leaf's smallest margin on the path; the own leaf has the only positive one."""
-        n_leaves = len(self.chunks)
+        n_leaves = len(self.rows)
         out = np.empty((len(x), n_leaves), dtype=np.float32)
         if len(self.normals) == 0:
             out[:] = np.inf
@@ -77,7 +95,7 @@ def fit(sample: np.ndarray, n_rows: int, trees: int, leaf: int, seed: int = 7) -
         normals: list[np.ndarray] = []
         offsets: list[float] = []
         below: list[list[int]] = []
-        chunks: list[int] = []
+        sizes: list[int] = []
         todo: list[tuple[np.ndarray, int, int]] = [(np.arange(n), -1, 0)]  # rows, parent, side
         while todo:
             rows, parent, which = todo.pop(0)
@@ -103,8 +121,8 @@ def fit(sample: np.ndarray, n_rows: int, trees: int, leaf: int, seed: int = 7) -
                         if 0.1 * len(x) < left.sum() < 0.9 * len(x):
                             break
             if made is None:
-                chunks.append(max(1, int(np.ceil(len(rows) * scale / CHUNK))))
-                at = -len(chunks)
+                sizes.append(len(rows))
+                at = -len(sizes)
             else:
                 normals.append(made[0].astype(np.float32))
                 offsets.append(made[1])
@@ -114,7 +132,7 @@ def fit(sample: np.ndarray, n_rows: int, trees: int, leaf: int, seed: int = 7) -
             if parent >= 0:
                 below[parent][which] = at
         dim = sample.shape[1] if sample.ndim == 2 else 0
-        forest.append(Tree(np.array(normals, dtype=np.float32).reshape(-1, dim), np.array(offsets, dtype=np.float32), np.array(below, dtype=np.int64).reshape(-1, 2), np.array(chunks, dtype=np.int64)))
+        forest.append(Tree(np.array(normals, dtype=np.float32).reshape(-1, dim), np.array(offsets, dtype=np.float32), np.array(below, dtype=np.int64).reshape(-1, 2), np.array(sizes, dtype=np.int64)))
     return forest
 
 
@@ -128,15 +146,28 @@ def _matrix(col: pd.Series, dim: int, kind=np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(col), dtype=np.float32).reshape(-1, dim).astype(kind)
 
 
-def _best_in_cell(q: pd.DataFrame, d: pd.DataFrame, dim: int, k: int, min_cos: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, cosine in double precision): for each query the k best of the cell and all ties."""
-    qx, dx = _matrix(q["vec"], dim, np.float64), _matrix(d["vec"], dim, np.float64)
-    qx /= np.linalg.norm(qx, axis=1, keepdims=True)
-    dx /= np.linalg.norm(dx, axis=1, keepdims=True)
-    qi, di = q["id"].to_numpy(), d["id"].to_numpy()
-    q32, d32 = qx.astype(np.float32), dx.astype(np.float32)
+def regions(forest: list[Tree], scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(region, place in it) of every leaf of all trees, by the rows that leaves are expected to hold."""
+    region, place = [], []
+    at = -1
+    for t in forest:
+        own, inside = np.zeros(len(t.rows), dtype=np.int64), np.zeros(len(t.rows), dtype=np.int64)
+        held, k = np.inf, 0
+        for leaf in t.walk():
+            rows = t.rows[leaf] * scale
+            if held + rows > REGION or k >= REGION_LEAVES:
+                at, held, k = at + 1, 0.0, 0
+            own[leaf], inside[leaf] = at, k
+            held, k = held + rows, k + 1
+        region.append(own)
+        place.append(inside)
+    return np.concatenate(region), np.concatenate(place)
+
+
+def _pairs(q32: np.ndarray, qi: np.ndarray, d32: np.ndarray, di: np.ndarray, k: int, min_cos: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, held) places of each query's k nearest among the held rows, and of all that could tie."""
     outs = []
-    for s in range(0, len(qx), 512):
+    for s in range(0, len(q32), 512):
         sim = q32[s : s + 512] @ d32.T
         sim[qi[s : s + 512, None] == di[None, :]] = -2
         if sim.shape[1] > k:
@@ -144,17 +175,77 @@ def _best_in_cell(q: pd.DataFrame, d: pd.DataFrame, dim: int, k: int, min_cos: f
         else:
             floor = np.full(len(sim), -1.5, dtype=np.float32)
         floor = np.maximum(floor, -1.5 if min_cos is None else min_cos - 2e-6)
-        a, b = np.nonzero(sim >= floor[:, None])
+        near = sim >= floor[:, None]
+        for i in np.flatnonzero(near.sum(axis=1) > CROWDED):
+            # very many that could tie: the k smallest ids of the highest cosine, row by row
+            at = np.flatnonzero(near[i])
+            cos = np.round(d32[at].astype(np.float64) @ q32[s + i].astype(np.float64), 5)
+            least = np.sort(cos)[-k]
+            over = at[cos > least]
+            tied = at[cos == least]
+            some = np.r_[over, tied[np.argsort(di[tied], kind="stable")[:CROWDED]]] if len(over) < CROWDED else at[np.lexsort((di[at], -cos))[:CROWDED]]
+            near[i] = False
+            near[i, some] = True
+        a, b = np.nonzero(near)
         outs.append((a + s, b))
-    a, b = np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs])
-    cos = np.round(np.einsum("ij,ij->i", qx[a], dx[b]), 6)
+    return np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs])
+
+
+def _in_leaf(q32: np.ndarray, qi: np.ndarray, d32: np.ndarray, di: np.ndarray, k: int, min_cos: float | None, leaf: int, local: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """_pairs of one leaf; one that has outgrown its size is searched through a tree of its own."""
+    if len(d32) <= GROWN * leaf or local is None:
+        return _pairs(q32, qi, d32, di, k, min_cos)
+    tree = fit(d32, len(d32), 1, leaf)[0]
+    home = np.concatenate([tree.margins(d32[s : s + 4096]).argmax(axis=1) for s in range(0, len(d32), 4096)])
+    order = np.argsort(home, kind="stable")
+    start = np.searchsorted(home[order], np.arange(len(tree.rows) + 1))
+    asks: list[list[np.ndarray]] = [[] for _ in tree.rows]
+    for s in range(0, len(q32), 4096):
+        m = tree.margins(q32[s : s + 4096])
+        w = min(local, m.shape[1])
+        best = np.argpartition(-m, w - 1, axis=1)[:, :w]
+        flat, row = best.ravel(), np.repeat(np.arange(len(m)), w) + s
+        by = np.argsort(flat, kind="stable")
+        cut_at = np.searchsorted(flat[by], np.arange(len(tree.rows) + 1))
+        for i in range(len(tree.rows)):
+            asks[i].append(row[by[cut_at[i] : cut_at[i + 1]]])
+    outs = []
+    for i, parts in enumerate(asks):
+        rows, held = np.concatenate(parts), order[start[i] : start[i + 1]]
+        if len(rows) and len(held):
+            a, b = _pairs(q32[rows], qi[rows], d32[held], di[held], k, min_cos)
+            outs.append((rows[a], held[b]))
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs])) if outs else (none, none)
+
+
+def _in_region(b: pd.DataFrame, dim: int, k: int, min_cos: float | None, leaf: int, local: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, neighbour id, cosine in double precision): for each query the k best of the region's
+    leaves that it visits, and all ties."""
+    x32 = _matrix(b["vec"], dim)
+    norm = np.linalg.norm(x32.astype(np.float64), axis=1, keepdims=True)
+    unit = (x32 / norm).astype(np.float32)
+    ids, mask, hold = b["id"].to_numpy(), b["mask"].to_numpy(), b["hold"].to_numpy()
+    outs = []
+    for place in np.unique(hold[hold >= 0]):
+        held, asking = np.flatnonzero(hold == place), np.flatnonzero((mask >> place) & 1)
+        if len(asking):
+            a, c = _in_leaf(unit[asking], ids[asking], unit[held], ids[held], k, min_cos, leaf, local)
+            outs.append((asking[a], held[c]))
+    if not outs:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    a, c = np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs])
+    cos = np.empty(len(a))
+    for s in range(0, len(a), 65_536):
+        e = slice(s, s + 65_536)
+        x, y = x32[a[e]].astype(np.float64) / norm[a[e]], x32[c[e]].astype(np.float64) / norm[c[e]]
+        cos[e] = np.round(np.einsum("ij,ij->i", x, y), 6)
     # among ties at the k-th place only the smallest ids can be wanted
-    order = np.lexsort((di[b], -cos, a))
-    a, b, cos = a[order], b[order], cos[order]
+    order = np.lexsort((ids[c], -cos, a))
+    a, c, cos = a[order], c[order], cos[order]
     start = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.zeros(0, dtype=np.int64)
-    place = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
-    keep = place < k
-    return qi[a[keep]], di[b[keep]], cos[keep]
+    keep = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)])) < k
+    return ids[a[keep]], ids[c[keep]], cos[keep]
 
 
 def neighbours(
@@ -169,15 +260,19 @@ def neighbours(
     leaf: int = LEAF,
     sample_rows: int = SAMPLE,
     every: int | None = None,
+    exact: bool = False,
+    local: int = LOCAL_VISITS,
 ) -> DataFrame:
     """(id, neighbours ARRAY<STRUCT<cos, id>>): for every usable vector the k others of highest
     cosine, rounded to 6 decimals, ties to the smaller id; with min_cos only those of at least it,
-    and with `every` only for vectors whose id is divisible by it.
+    and with `every` only for vectors whose id is divisible by it. With `exact` the answer is that of
+    comparing all with all: one tree, of which every leaf is visited.
 
     Null ids and vectors that are null, all zero, of another size or with null, NaN or infinite
     entries take no part; a repeated id counts once. Tables with fewer than two vectors give empty lists.
     """
     spark = df.sparkSession
+    trees, local_ = (1, None) if exact else (trees, local)
     v = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
     v = v.where("id is not null").where(usable(F.col("vec"), dim))
 
@@ -208,56 +303,45 @@ def neighbours(
     if len(sample):
         sample /= np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
     forest = fit(sample, n, trees, leaf) if len(sample) else fit(np.zeros((0, dim), np.float32), 0, trees, leaf)
-    sent = spark.sparkContext.broadcast(forest)
-    first_cell = np.cumsum([0] + [int(t.chunks.sum()) for t in forest])
+    region, place = regions(forest, n / max(len(sample), 1))
+    # the forest is as large as the sample allows
+    sent = spark.sparkContext.broadcast((forest, region, place))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees_ = sent.value
-        starts = [first_cell[t] + np.r_[0, np.cumsum(tr.chunks)[:-1]] for t, tr in enumerate(trees_)]
-        start, count = np.concatenate(starts), np.concatenate([t.chunks for t in trees_])
+        trees_, region_, place_ = sent.value
         for batch in batches:
             for s in range(0, len(batch), 1024):
                 b = batch.iloc[s : s + 1024]
                 x = _matrix(b["vec"], dim)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 m = np.concatenate([t.margins(x) for t in trees_], axis=1)
-                w = min(visits, m.shape[1])
+                w = m.shape[1] if exact else min(visits, m.shape[1])
                 far = np.argpartition(-m, w - 1, axis=1)[:, :w] if w < m.shape[1] else np.tile(np.arange(w), (len(b), 1))
-                row = np.repeat(np.arange(len(b)), w)
-                leaf_ = far.ravel()
-                own = np.zeros(m.shape, dtype=bool)
-                at = 0
+                asks = b["asks"].to_numpy()
+                row, leaf_ = np.repeat(np.flatnonzero(asks), w), far[asks].ravel()
+                homes, at = [], 0
                 for t in trees_:
-                    own[np.arange(len(b)), at + m[:, at : at + len(t.chunks)].argmax(axis=1)] = True
-                    at += len(t.chunks)
-                # every tree's own leaf holds the vector, visited or not
-                missed = own.copy()
-                missed[row, leaf_] = False
-                mr, ml = np.nonzero(missed)
-                row, leaf_ = np.r_[row, mr], np.r_[leaf_, ml]
-                asks = np.r_[np.ones(len(far.ravel()), bool), np.zeros(len(mr), bool)]
-                is_own = own[row, leaf_]
-                ids, vecs = b["id"].to_numpy(), b["vec"].to_numpy()
-                times = count[leaf_]
-                r, lf = np.repeat(row, times), np.repeat(leaf_, times)
-                part = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                holds = np.repeat(is_own, times) & (ids[r] % count[lf] == part)
-                ask = np.repeat(asks & b["asks"].to_numpy()[row], times)
-                use = ask | holds
-                yield pd.DataFrame({"cell": (start[lf] + part)[use], "id": ids[r][use], "vec": vecs[r][use], "ask": ask[use], "hold": holds[use]})
+                    homes.append(at + m[:, at : at + len(t.rows)].argmax(axis=1))
+                    at += len(t.rows)
+                home = np.stack(homes, axis=1).ravel()
+                # one row per vector and region: the leaves it visits there, and the one that holds it
+                key = np.r_[row * (1 << 40) + region_[leaf_], np.repeat(np.arange(len(b)), len(trees_)) * (1 << 40) + region_[home]]
+                kinds, inv = np.unique(key, return_inverse=True)
+                mask, hold = np.zeros(len(kinds), dtype=np.int64), np.full(len(kinds), -1, dtype=np.int32)
+                np.bitwise_or.at(mask, inv[: len(row)], np.int64(1) << place_[leaf_])
+                hold[inv[len(row) :]] = place_[home]
+                of = kinds >> 40
+                yield pd.DataFrame({"cell": kinds & ((1 << 40) - 1), "id": b["id"].to_numpy()[of], "vec": b["vec"].to_numpy()[of], "mask": mask, "hold": hold})
 
     asked = lambda c: F.lit(True) if every is None else F.pmod(c, F.lit(every)) == 0
     asking = reps.withColumn("asks", asked(F.col("id")))
     if every is not None:  # an entry asks for its copies too
         for_copies = copies.where(asked(F.col("id"))).select(F.col("rep").alias("id"), F.lit(True).alias("more")).distinct()
         asking = asking.join(for_copies, "id", "left").select("id", "vec", (F.col("asks") | F.coalesce("more", F.lit(False))).alias("asks"))
-    routed = asking.mapInPandas(route, "cell bigint, id bigint, vec binary, ask boolean, hold boolean")
+    routed = asking.mapInPandas(route, "cell bigint, id bigint, vec binary, mask bigint, hold int")
 
     def in_cell(b: pd.DataFrame) -> pd.DataFrame:
-        q, d = b[b["ask"]], b[b["hold"]]
-        if not len(q) or not len(d):
-            return pd.DataFrame({"q": [], "id": [], "cos": []})
-        a, c, cos = _best_in_cell(q, d, dim, k, min_cos)
+        a, c, cos = _in_region(b, dim, k, min_cos, leaf, local_)
         return pd.DataFrame({"q": a, "id": c, "cos": cos})
 
     near = routed.groupBy("cell").applyInPandas(in_cell, "q bigint, id bigint, cos double")
@@ -285,8 +369,8 @@ def found(df: DataFrame, min_cos: float = 0.85, k: int = 5, dim: int = 64, visit
     return n.select(F.least("id", "n.id").alias("vec_id_a"), F.greatest("id", "n.id").alias("vec_id_b")).distinct()
 
 
-def search(df: DataFrame, every: int = 50, k: int = 5, dim: int = 64) -> DataFrame:
+def search(df: DataFrame, every: int = 50, k: int = 5, dim: int = 64, visits: int = SEARCH_VISITS, exact: bool = False) -> DataFrame:
     """(vec_id, rank, neighbour_id, cosine): the k nearest of every vector whose id is divisible by
     `every`, among all vectors."""
-    n = neighbours(df, k=k, dim=dim, every=every, visits=SEARCH_VISITS)
+    n = neighbours(df, k=k, dim=dim, every=every, visits=visits, exact=exact)
     return n.select(F.col("id").alias("vec_id"), F.posexplode("neighbours").alias("p", "n")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.col("n.cos").alias("cosine"))
