@@ -1,7 +1,7 @@
 """Deeply nested stand-off records as flat tables (problem 7).
 
 A body is parsed once into a VARIANT. Nested transforms attach the keys of the ancestors, flatten
-joins the arrays of one kind, and one inline per target table emits rows: no shuffle but the one
+joins the arrays of one kind into a column, and one inline per target table emits rows: no shuffle but the one
 that drops redelivered records. Nodes stand in nodes to any depth: LEVELS levels are unrolled in one
 projection, and records that go deeper are carried on from there until none is left.
 """
@@ -66,57 +66,74 @@ def _records(df: DataFrame) -> DataFrame:
     return v.where("root is not null").select("rec_id", layers.alias("layers")).where(F.size("layers") > 0)
 
 
-def _rows(kind: str, items: Column, a, b, data) -> Column:
-    """Uniform rows of one kind: two texts and one variant of each object, as its kind has them."""
+def _rows(items: Column, a=None, b=None, data=None) -> Column:
+    """Rows of one kind: the texts and the variant of each object that the kind has."""
 
     def row(x: Column) -> Column:
         o = x["o"]
-        none, nothing = F.lit(None).cast("string"), F.lit(None).cast(_V)
-        return F.struct(
-            F.lit(kind).alias("kind"), x["layer"].alias("layer"), x["parent"].alias("parent"), o["id"].alias("id"),
-            (o[a] if a else none).alias("a"), (o[b] if b else none).alias("b"), (o[data] if data else nothing).alias("data"),
-        )
+        more = [o[name].alias(to) for name, to in ((a, "a"), (b, "b"), (data, "data")) if name]
+        return F.struct(x["layer"].alias("layer"), x["parent"].alias("parent"), o["id"].alias("id"), *more)
 
     return F.transform(items, row)
 
 
-def objects(df: DataFrame) -> DataFrame:
-    """(rec_id, kind, layer, parent, id, a, b, data): one row per layer, region, node, annotation
-    and edge, with what it stands in as parent.
+KINDS = ("layer", "region", "node", "annotation", "edge")
 
-    layer: a = type; region: a = start, b = end, data = anchors; node: data = targets; annotation:
-    a = label, b = ref, data = features; edge: a = from, b = to. A record counts once however often
-    it is delivered; null, blank, broken and empty bodies and those without layers give no rows.
-    Other columns of df are not read.
+
+class Objects:
+    """The objects of all records, an array column per kind and record; a table of one kind is one
+    inline of its column, and reads no other."""
+
+    def __init__(self, parts: list[DataFrame]):
+        self.parts = parts
+
+    def of(self, kind: str) -> DataFrame:
+        """(rec_id, layer, parent, id, ...) with what the objects stand in as parent.
+
+        layer: a = type; region: a = start, b = end, data = anchors; node: data = targets; annotation:
+        a = label, b = ref, data = features; edge: a = from, b = to.
+        """
+        out = None
+        for p in self.parts:
+            if kind in p.columns:
+                rows = p.select("rec_id", F.inline(kind))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+
+def objects(df: DataFrame, kinds: tuple[str, ...] = KINDS) -> Objects:
+    """The objects of the kinds that are asked for.
+
+    A record counts once however often it is delivered; null, blank, broken and empty bodies and
+    those without layers give no rows. Other columns of df are not read.
     """
-    out = None
+    parts: list[DataFrame] = []
     level = _records(df)
     first = True
+    deep = "node" in kinds or "annotation" in kinds
     while True:
+        made: dict[str, Column] = {}
+        if deep:
+            if first:
+                level = level.withColumn("n0", _nested(F.col("layers"), lambda o: o["nodes"], NODE))
+            for i in range(LEVELS):
+                level = level.withColumn(f"n{i + 1}", _nested(F.col(f"n{i}"), lambda o: o["nodes"], NODE))
+            level = level.withColumn("nodes", F.concat(*[F.col(f"n{i}") for i in range(LEVELS)]))
+            made["node"] = _rows(F.col("nodes"), data="targets")
+            made["annotation"] = _rows(_nested(F.col("nodes"), lambda o: o["annotations"], ANNOTATION), "label", "ref", "features")
         if first:
-            level = level.withColumn("n0", _nested(F.col("layers"), lambda o: o["nodes"], NODE))
-        for i in range(LEVELS):
-            level = level.withColumn(f"n{i + 1}", _nested(F.col(f"n{i}"), lambda o: o["nodes"], NODE))
-        level = level.withColumn("nodes", F.concat(*[F.col(f"n{i}") for i in range(LEVELS)]))
-        parts = [
-            _rows("node", F.col("nodes"), None, None, "targets"),
-            _rows("annotation", _nested(F.col("nodes"), lambda o: o["annotations"], ANNOTATION), "label", "ref", "features"),
-        ]
-        if first:
-            # an annotation of a layer stands in no node
-            of_layer = _rows("annotation", _nested(F.col("layers"), lambda o: o["annotations"], ANNOTATION), "label", "ref", "features")
-            parts += [
-                F.transform(of_layer, lambda r: r.withField("parent", F.lit(None).cast("string"))),
-                _rows("layer", F.col("layers"), "type", None, None),
-                _rows("region", _nested(F.col("layers"), lambda o: o["regions"], REGION), "start", "end", "anchors"),
-                _rows("edge", _nested(F.col("layers"), lambda o: o["edges"], EDGE), "from", "to", None),
-            ]
-        done = cut(level.select("rec_id", F.concat(*parts).alias("all"), F.col(f"n{LEVELS}").alias("rest")))
-        rows = done.select("rec_id", F.inline("all"))
-        out = rows if out is None else out.unionByName(rows)
-        deeper = done.where(F.size("rest") > 0)
-        if deeper.isEmpty():
-            return out
+            if deep:
+                # an annotation of a layer stands in no node
+                of_layer = _rows(_nested(F.col("layers"), lambda o: o["annotations"], ANNOTATION), "label", "ref", "features")
+                made["annotation"] = F.concat(made["annotation"], F.transform(of_layer, lambda r: r.withField("parent", F.lit(None).cast("string"))))
+            made["layer"] = _rows(F.col("layers"), "type")
+            made["region"] = _rows(_nested(F.col("layers"), lambda o: o["regions"], REGION), "start", "end", "anchors")
+            made["edge"] = _rows(_nested(F.col("layers"), lambda o: o["edges"], EDGE), "from", "to")
+        rest = [F.col(f"n{LEVELS}").alias("rest")] if deep else []
+        done = cut(level.select("rec_id", *[made[k].alias(k) for k in kinds if k in made], *rest))
+        parts.append(done)
+        if not deep or (deeper := done.where(F.size("rest") > 0)).isEmpty():
+            return Objects(parts)
         level, first = deeper.select("rec_id", F.col("rest").alias("n0")), False
 
 
@@ -125,39 +142,49 @@ def _texts(data: Column) -> Column:
     return F.coalesce(F.try_variant_get(data, "$", "array<string>"), F.split(F.trim(F.try_variant_get(data, "$", "string")), r"\s+"), F.array().cast("array<string>"))
 
 
-def layers(o: DataFrame) -> DataFrame:
-    return o.where("kind = 'layer'").select("rec_id", F.col("id").alias("layer_id"), F.col("parent").alias("doc"), F.col("a").alias("type"))
+def layers(o: Objects) -> DataFrame:
+    return o.of("layer").select("rec_id", F.col("id").alias("layer_id"), F.col("parent").alias("doc"), F.col("a").alias("type"))
 
 
-def regions(o: DataFrame) -> DataFrame:
+def regions(o: Objects) -> DataFrame:
     """start and end from numbers, digit texts, or `anchors` as an array or a text of two numbers."""
     at = lambda c, i: F.coalesce(F.col(c), F.try_element_at(_texts(F.col("data")), F.lit(i))).try_cast("int")
-    return o.where("kind = 'region'").select("rec_id", "layer", F.col("id").alias("region_id"), at("a", 1).alias("start"), at("b", 2).alias("end"))
+    return o.of("region").select("rec_id", "layer", F.col("id").alias("region_id"), at("a", 1).alias("start"), at("b", 2).alias("end"))
 
 
-def nodes(o: DataFrame) -> DataFrame:
-    return o.where("kind = 'node'").select("rec_id", "layer", "parent", F.col("id").alias("node_id"), _texts(F.col("data")).alias("targets"))
+def nodes(o: Objects) -> DataFrame:
+    return o.of("node").select("rec_id", "layer", "parent", F.col("id").alias("node_id"), _texts(F.col("data")).alias("targets"))
 
 
-def annotations(o: DataFrame) -> DataFrame:
+def annotations(o: Objects) -> DataFrame:
     """ref: the annotation's own when given and not empty, else the node it stands in."""
     ref = F.when(F.col("b") != "", F.col("b")).otherwise(F.col("parent"))
-    return o.where("kind = 'annotation'").select("rec_id", "layer", ref.alias("ref"), F.col("id").alias("annotation_id"), F.col("a").alias("label"))
+    return o.of("annotation").select("rec_id", "layer", ref.alias("ref"), F.col("id").alias("annotation_id"), F.col("a").alias("label"))
 
 
-def features(o: DataFrame) -> DataFrame:
-    a = o.where("kind = 'annotation'").select("rec_id", F.col("id").alias("annotation_id"), F.inline(feature_items(F.col("data"))))
+def features(o: Objects) -> DataFrame:
+    a = o.of("annotation").select("rec_id", F.col("id").alias("annotation_id"), F.inline(feature_items(F.col("data"))))
     return a.select("rec_id", "annotation_id", "name", F.to_json("value").alias("value_json"))
 
 
-def edges(o: DataFrame) -> DataFrame:
-    return o.where("kind = 'edge'").select("rec_id", "layer", F.col("id").alias("edge_id"), F.col("a").alias("from_id"), F.col("b").alias("to_id"))
+def edges(o: Objects) -> DataFrame:
+    return o.of("edge").select("rec_id", "layer", F.col("id").alias("edge_id"), F.col("a").alias("from_id"), F.col("b").alias("to_id"))
 
 
 def links(df: DataFrame) -> DataFrame:
     """(rec_id, obj_kind, child_id, parent_id): one row per object of each record."""
     o = objects(df)
-    parent = F.when(F.col("kind") == "edge", F.col("a")).when((F.col("kind") == "annotation") & (F.col("b") != ""), F.col("b")).otherwise(F.col("parent"))
-    own = o.select("rec_id", F.col("kind").alias("obj_kind"), F.col("id").alias("child_id"), parent.alias("parent_id"))
-    f = o.where("kind = 'annotation' and data is not null").select("rec_id", F.col("id").alias("parent_id"), F.explode(F.transform(feature_items(F.col("data")), lambda x: x["name"])).alias("child_id"))
-    return own.unionByName(f.withColumn("obj_kind", F.lit("feature")))
+    out = None
+    for kind in KINDS:
+        own = o.of(kind)
+        if kind == "edge":
+            parent = F.col("a")
+        elif kind == "annotation":
+            parent = F.when(F.col("b") != "", F.col("b")).otherwise(F.col("parent"))
+        else:
+            parent = F.col("parent")
+        rows = own.select("rec_id", F.lit(kind).alias("obj_kind"), F.col("id").alias("child_id"), parent.alias("parent_id"))
+        out = rows if out is None else out.unionByName(rows)
+    f = o.of("annotation").where("data is not null")
+    f = f.select("rec_id", F.lit("feature").alias("obj_kind"), F.explode(F.transform(feature_items(F.col("data")), lambda x: x["name"])).alias("child_id"), F.col("id").alias("parent_id"))
+    return out.unionByName(f)
