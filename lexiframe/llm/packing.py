@@ -2,10 +2,12 @@
 
 A grouping genetic algorithm over blocks of items. A solution is a set of containers; crossover
 injects whole well-filled containers of one parent into the other, containers that hold any of
-their items are dissolved, and the displaced items are placed by best fit. Each block is evolved on
+their items are dissolved, displaced items change places with smaller ones where that fills a
+container better, and what is then displaced is placed by best fit. Each block is evolved on
 several islands with their own random numbers; after each epoch every island gets the elites of the
 others. Containers that a block fills well are final; the items of its other ones go into the next
-stage's blocks, until one block is left. Blocks are of bounded size, so no task sees all items.
+stage's blocks, for as long as that saves containers. Blocks are of bounded size, so no task sees
+all items.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.llm import bpe
-from lexiframe.session import cut, release, spread
+from lexiframe.session import cut, spread
 
 #: Items of a block on average.
 BLOCK = 800
-ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 2, 2, 5, 6, 2
+ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 2, 2, 8, 6, 2
 #: Containers filled to this share are final.
 WELL_FILLED = 0.995
-#: Stages at most; the last one keeps all its containers.
-STAGES = 6
+#: Share of the ill-filled containers by which a stage must bring them down for another one to follow.
+PROGRESS = 0.01
 
 Bins = list[list[int]]
 
@@ -49,6 +51,43 @@ def place(items: list[int], sizes: list[int], bins: Bins, loads: list[int], capa
             bisect.insort(room, (capacity - s, len(bins) - 1))
 
 
+def swap_in(displaced: list[int], sizes: list[int], bins: Bins, loads: list[int], capacity: int) -> list[int]:
+    """Displaced items take the place of one or two smaller ones of a container where that fills it
+    better; the items that are displaced afterwards."""
+    todo = sorted(displaced, key=lambda x: -sizes[x])
+    free: list[int] = []
+    open_ = [i for i, load in enumerate(loads) if load < capacity]
+    while todo:
+        x = todo.pop(0)
+        s = sizes[x]
+        best, where = 0, None
+        for i in open_:
+            room = capacity - loads[i]
+            if s <= room:
+                continue  # best fit will find it
+            items = bins[i]
+            for a, y in enumerate(items):
+                gain = s - sizes[y]
+                if best < gain <= room:
+                    best, where = gain, (i, (a,))
+                for b in range(a + 1, len(items)):
+                    gain = s - sizes[y] - sizes[items[b]]
+                    if best < gain <= room:
+                        best, where = gain, (i, (a, b))
+            if best and loads[where[0]] + best == capacity:
+                break
+        if where is None:
+            free.append(x)
+            continue
+        i, out = where
+        free += [bins[i][a] for a in out]
+        bins[i] = [y for a, y in enumerate(bins[i]) if a not in out] + [x]
+        loads[i] += best
+        if loads[i] == capacity:
+            open_.remove(i)
+    return free
+
+
 def fitness(loads: list[int], capacity: int) -> float:
     """Mean squared fill: of two solutions with as many containers, the one with fuller full ones."""
     return sum((x / capacity) ** 2 for x in loads) / len(loads) if loads else 1.0
@@ -78,6 +117,7 @@ def cross(into: Bins, giver: Bins, giver_loads: list[int], sizes: list[int], cap
             i = min(range(len(child)), key=loads.__getitem__)
             displaced += child.pop(i)
             loads.pop(i)
+    displaced = swap_in(displaced, sizes, child, loads, capacity)
     displaced.sort(key=lambda x: -sizes[x])
     place(displaced, sizes, child, loads, capacity)
     return child
@@ -104,7 +144,8 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], genera
     least = -(-sum(sizes) // capacity)
     for _ in range(generations):
         pool.sort(key=lambda p: -p[0])
-        if len(pool[0][1]) <= least and min(loads_of(pool[0][1], sizes), default=capacity) >= WELL_FILLED * capacity:
+        # as few containers as any packing needs, and the room that must be left is in two of them at most
+        if len(pool[0][1]) <= least and sum(x < WELL_FILLED * capacity for x in loads_of(pool[0][1], sizes)) <= 2:
             break
         children = []
         for _ in range(population):
@@ -191,18 +232,22 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
     full = pieces.where(F.col("size") == capacity)
     placed = [full.select("doc_id", "piece", "size", F.concat(F.lit("full."), F.col("doc_id").cast("string"), F.lit("."), F.col("piece").cast("string")).alias("container"))]
     todo = pieces.where(F.col("size") < capacity)
-    spare = None
-    for stage in range(1, STAGES + 1):
+    before, stage = None, 0
+    poor_load = F.col("load") < WELL_FILLED * capacity
+    while True:
+        stage += 1
         done = cut(_stage(todo, kind, capacity, stage))
-        release(spare)
-        spare = None
-        poor = done.where(F.col("load") < WELL_FILLED * capacity).select("doc_id", "piece", "size")
-        n_poor = poor.count()
-        if stage == STAGES or n_poor == 0 or done.count() <= 2 * BLOCK:
+        poor = done.where(poor_load)
+        per = poor.groupBy("container").agg(F.first("load").alias("load"))
+        n_items = done.count()
+        said = per.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("load"), F.lit(0)).alias("size")).first()
+        # nothing to save, all items were in one block, or the stage brought next to nothing: all stay
+        settled = said["n"] <= -(-said["size"] // capacity) or n_items <= BLOCK
+        if settled or before is not None and said["n"] > (1 - PROGRESS) * before:
             placed.append(done.drop("load"))
             break
-        placed.append(done.where(F.col("load") >= WELL_FILLED * capacity).drop("load"))
-        todo = poor
+        placed.append(done.where(~poor_load).drop("load"))
+        todo, before = poor.select("doc_id", "piece", "size"), said["n"]
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)

@@ -24,6 +24,18 @@ def test_deltas(spark):
     assert counts(terms.TermStore(spark).apply(frame([]))) == {}
 
 
+def test_emptied_records_and_unfinished_versions(spark):
+    frame = lambda rows: spark.createDataFrame(rows, ENTRY)
+    names = lambda rows: spark.createDataFrame(rows, "field string, rec bigint")
+    store = terms.TermStore(spark).apply(frame([("w", 1, "a", 2), ("w", 2, "a", 1)]))
+    store.apply(frame([("w", 2, "b", 1)]), records=names([("w", 1), ("w", 2), ("w", 3)]))
+    assert counts(store) == {("w", "b"): (1, 1)}
+    # a writer that stops before its manifest is renamed leaves the version before
+    store._write_manifest = lambda: None
+    store.apply(frame([("w", 9, "z", 1)]))
+    assert counts(terms.TermStore(spark, store.path)) == {("w", "b"): (1, 1)}
+
+
 def test_entries_and_marks(spark):
     t0 = datetime.datetime(2024, 1, 1)
     late = t0 + datetime.timedelta(days=20)
