@@ -61,3 +61,11 @@ def segmented(indexes: list[DataFrame]) -> DataFrame:
         out = part if out is None else out.unionByName(part)
         at += x.count()
     return out
+
+
+def with_hashed(pairs: DataFrame, at_least: int, buckets: int) -> DataFrame:
+    """(label, feature, n, hashed, cell): pairs seen so often have a cell of their own, all others one
+    of `buckets` shared ones behind them, by the hash of label and feature."""
+    c = pairs.groupBy("label", "feature").agg(F.count(F.lit(1)).alias("n")).withColumn("hashed", F.col("n") < at_least)
+    cell = F.when(F.col("hashed"), F.concat(F.lit("h"), hashed(F.col("label"), F.col("feature"), buckets).cast("string"))).otherwise(F.concat_ws("|", "label", "feature"))
+    return c.withColumn("cell", cell)

@@ -50,12 +50,12 @@ def _candidates(spark, d):
 
 
 def span_enumeration(spark, d):
-    """Spans up to the longest entity's length; the SQL statement ends at 3 tokens."""
+    """Spans up to the longest entity's length."""
     return _candidates(spark, d)
 
 
 def span_length_bins(spark, d):
-    """All spans by length; the SQL statement ends at 12 tokens."""
+    """All spans by length."""
     s = spans.enumerate_spans(one_sentences(spark, d))
     return s.groupBy(maths.distance_bin(F.col("end") - F.col("begin")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -112,13 +112,13 @@ def _gazetteer(spark, d):
 
 
 def gazetteer_word(spark, d):
-    """Types of the tokens of all sentences; the SQL statement looks up the held-out ones only."""
+    """Types of the tokens of all sentences."""
     g = spans.gazetteer_words(tokens(spark, d), _gazetteer(spark, d))
     return g.select("sent_id", "pos", F.array_join("types", " ").alias("types"))
 
 
 def gazetteer_span(spark, d):
-    """Entries in all sentences; the SQL statement looks at the held-out ones only."""
+    """Entries in all sentences."""
     return spans.gazetteer_spans(tokens(spark, d), _gazetteer(spark, d))
 
 
@@ -247,12 +247,13 @@ _SEG = TOK + """,
    FROM tok t LEFT JOIN seg s ON t.sent_id = s.sent_id AND t.pos >= s.b AND t.pos < s.e)"""
 _GAZ = _SEG + """,
  gaz AS (SELECT DISTINCT label AS type, list(word ORDER BY pos) AS words FROM bio JOIN seg USING (sent_id, label) WHERE sent_id NOT IN (SELECT sent_id FROM held) AND pos >= seg.b AND pos < seg.e GROUP BY sent_id, label, seg.b),
- odd AS (SELECT * FROM tok WHERE sent_id IN (SELECT sent_id FROM held)),
+ odd AS (SELECT * FROM tok),
  gk AS (SELECT array_to_string(words, ' ') AS key, len(words) AS n, max(type) AS type FROM gaz GROUP BY 1, 2),
  lens AS (SELECT DISTINCT n FROM gk),
  gram AS (SELECT a.sent_id, a.pos AS b, lens.n, array_to_string(list(o.word ORDER BY o.pos), ' ') AS key FROM odd a, lens JOIN odd o ON o.sent_id = a.sent_id AND o.pos >= a.pos AND o.pos < a.pos + lens.n
    GROUP BY 1, 2, 3 HAVING count(*) = any_value(lens.n)),
  gs AS (SELECT sent_id, b, b + gram.n AS e, gk.type FROM gram JOIN gk USING (key, n))"""
+_LONGEST = "(SELECT max(e - b) FROM seg)"
 _ENUM = "sp AS (SELECT sent_id, b, unnest(range(b + 1, least(n, b + {k}) + 1)) AS e FROM (SELECT sent_id, len(words) AS n, unnest(range(len(words))) AS b FROM one))"
 _F = f"WITH {TOK}, f AS (SELECT sent_id AS context, lower(word) AS feature FROM tok)"
 _BASE = f"""WITH {TAGGED}, c AS (SELECT word, tag, count(*) AS n FROM tagged WHERE sent_id NOT IN (SELECT sent_id FROM held) GROUP BY 1, 2),
@@ -271,16 +272,16 @@ SQL = {
  SELECT sent_id, label, CAST(min(new) AS INT) AS "begin", CAST(min(new) + count(*) FILTER (k) AS INT) AS "end" FROM seg JOIN k USING (sent_id) WHERE pos >= b AND pos < e GROUP BY sent_id, label, b, e HAVING count(*) FILTER (k) > 0""",
     "flat_tags": f"WITH {_SEG} SELECT coalesce(label, 'O') AS label, count(*) AS n FROM bio GROUP BY 1",
     "max_segment_length": f"WITH {_SEG} SELECT label, max(e - b) AS most, count(*) AS n FROM seg GROUP BY 1",
-    "span_enumeration": f"WITH {ONE}, {_ENUM.format(k=3)} SELECT sent_id, {_BE} FROM sp",
-    "span_length_bins": f"WITH {ONE}, {_ENUM.format(k=12)} SELECT {_BINS.format(x='(e - b)')} AS bin, count(*) AS n FROM sp GROUP BY 1",
+    "span_enumeration": f"WITH {_SEG}, {_ENUM.format(k=_LONGEST)} SELECT sent_id, {_BE} FROM sp",
+    "span_length_bins": f"WITH {ONE}, {_ENUM.format(k='n')} SELECT {_BINS.format(x='(e - b)')} AS bin, count(*) AS n FROM sp GROUP BY 1",
     "span_shapes": f"""WITH {_SEG}, cb AS (SELECT sent_id, pos, CASE WHEN regexp_matches(c, '\\p{{Lu}}') THEN 'X' WHEN regexp_matches(c, '\\p{{L}}') THEN 'x' WHEN regexp_matches(c, '\\p{{N}}') THEN 'd' ELSE c END AS c
    FROM (SELECT sent_id, pos, left(CASE word WHEN '-LRB-' THEN '(' WHEN '-RRB-' THEN ')' WHEN '-LSB-' THEN '[' WHEN '-RSB-' THEN ']' WHEN '-LCB-' THEN '{{' WHEN '-RCB-' THEN '}}' ELSE word END, 1) AS c FROM tok)),
  a AS (SELECT seg.sent_id, label, b, e, string_agg(CASE WHEN pos < b THEN '' WHEN e - b > 6 AND pos >= b + 3 AND pos < e - 3 THEN '' ELSE (CASE WHEN e - b > 6 AND pos = e - 3 THEN '~' ELSE '' END) || c END, '' ORDER BY pos) FILTER (pos >= b AND pos < e) AS i,
    max(CASE WHEN pos = b - 1 THEN c END) AS l, max(CASE WHEN pos = e THEN c END) AS r FROM seg JOIN cb ON seg.sent_id = cb.sent_id AND pos BETWEEN b - 1 AND e GROUP BY 1, 2, 3, 4)
  SELECT sent_id, label, {_BE}, coalesce(l, '#') || '[' || i || ']' || coalesce(r, '#') AS shape FROM a""",
     "span_edges": f"""WITH {_SEG} SELECT label, f.word || ' & ' || l.word AS edges, count(*) AS n FROM seg JOIN tok f ON f.sent_id = seg.sent_id AND f.pos = b JOIN tok l ON l.sent_id = seg.sent_id AND l.pos = e - 1 GROUP BY 1, 2""",
-    "span_mask": f"WITH {_SEG}, {_ENUM.format(k=4)} SELECT sent_id, {_BE} FROM sp SEMI JOIN seg USING (sent_id, b, e)",
-    "layered_span_mask": f"""WITH {_SEG}, {_ENUM.format(k=4)}, u AS (SELECT DISTINCT sent_id, pos, label FROM bio WHERE label IS NOT NULL), m AS (SELECT label, max(e - b) AS most FROM seg GROUP BY 1)
+    "span_mask": f"WITH {_SEG}, {_ENUM.format(k=_LONGEST)} SELECT sent_id, {_BE} FROM sp SEMI JOIN seg USING (sent_id, b, e)",
+    "layered_span_mask": f"""WITH {_SEG}, {_ENUM.format(k=_LONGEST)}, u AS (SELECT DISTINCT sent_id, pos, label FROM bio WHERE label IS NOT NULL), m AS (SELECT label, max(e - b) AS most FROM seg GROUP BY 1)
  SELECT u.label, e - b AS len, count(*) AS n FROM sp JOIN u ON u.sent_id = sp.sent_id AND u.pos = b JOIN m ON m.label = u.label AND e - b <= most
  WHERE e - b = 1 OR EXISTS (SELECT 1 FROM u v WHERE v.sent_id = sp.sent_id AND v.pos = b + 1 AND v.label = u.label) GROUP BY 1, 2""",
     "crossing_spans": f"""WITH {_SEG}, m AS (SELECT DISTINCT sent_id, c.span_begin AS mb, c.span_end AS me FROM (SELECT sent_id, unnest(annotations.coref) AS c FROM one))
@@ -306,7 +307,7 @@ SQL = {
  SELECT prev, cur, n, round(ln(n / sum(n) OVER (PARTITION BY prev)), 6) AS logp FROM c""",
     "tagging_eval": f"{_BASE}, s AS (SELECT sent_id, count(*) AS n, count(*) FILTER (gold = pred) AS r FROM p GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(r) AS BIGINT) AS n_right, count(*) AS n_sentences, count(*) FILTER (n = r) AS n_exact FROM s",
     "confusion_matrix": f"{_BASE} SELECT gold, pred, count(*) AS n FROM p GROUP BY 1, 2",
-    "segmentation_prf": f"""WITH {_GAZ}, g AS (SELECT DISTINCT sent_id, label, b, e FROM seg WHERE sent_id IN (SELECT sent_id FROM held)), p AS (SELECT DISTINCT sent_id, type AS label, b, e FROM gs),
+    "segmentation_prf": f"""WITH {_GAZ}, g AS (SELECT DISTINCT sent_id, label, b, e FROM seg WHERE sent_id IN (SELECT sent_id FROM held)), p AS (SELECT DISTINCT sent_id, type AS label, b, e FROM gs WHERE sent_id IN (SELECT sent_id FROM held)),
  u AS (SELECT coalesce(g.label, p.label) AS label, g.sent_id IS NOT NULL AS ig, p.sent_id IS NOT NULL AS ip FROM g FULL JOIN p ON g.sent_id = p.sent_id AND g.label = p.label AND g.b = p.b AND g.e = p.e),
  c AS (SELECT label, count(*) FILTER (ig) AS n_gold, count(*) FILTER (ip) AS n_guess, count(*) FILTER (ig AND ip) AS n_right FROM u GROUP BY 1)
  SELECT *, round(CASE WHEN n_guess = 0 THEN 1.0 ELSE n_right / n_guess END, 6) AS precision, round(CASE WHEN n_gold = 0 THEN 1.0 ELSE n_right / n_gold END, 6) AS recall, round(2 * n_right / (n_gold + n_guess), 6) AS f1 FROM c""",

@@ -161,7 +161,7 @@ def signature_lexicon(spark, d):
 
 
 def backoff_lookup(spark, d):
-    """Tags of every word of the sentences; the SQL statement looks up those of the held-out ones only."""
+    """Tags of every word of the sentences."""
     lex = wf.signature_lexicon(training(tagged(spark, d), spark, d))
     return wf.backoff_lookup(_vocabulary(spark, d), lex, F.array(F.lit("*"))).select("word", F.array_join("tags", " ").alias("tags"))
 
@@ -267,5 +267,5 @@ SQL = {
  a AS (SELECT DISTINCT word, tag FROM tagged UNION SELECT w.word, op.tag FROM w, op WHERE w.n < 10) SELECT word, string_agg(tag, ' ' ORDER BY tag) AS tags FROM a GROUP BY 1""",
     "signature_lexicon": f"WITH {TAGGED}, src AS (SELECT * FROM tagged), cnt AS (SELECT word, count(*) AS n FROM tagged GROUP BY 1), {_LEX} SELECT key, tags FROM lex",
     "backoff_lookup": f"""WITH {TAGGED}, src AS (SELECT * FROM tagged WHERE sent_id NOT IN (SELECT sent_id FROM held)), cnt AS (SELECT word, count(*) AS n FROM src GROUP BY 1), {_LEX},
- w AS (SELECT DISTINCT word FROM tagged WHERE sent_id IN (SELECT sent_id FROM held)) SELECT w.word, coalesce(a.tags, b.tags, '*') AS tags FROM w LEFT JOIN lex a ON w.word = a.key LEFT JOIN lex b ON {_class('w.word')} = b.key""",
+ w AS (SELECT DISTINCT word FROM tok) SELECT w.word, coalesce(a.tags, b.tags, '*') AS tags FROM w LEFT JOIN lex a ON w.word = a.key LEFT JOIN lex b ON {_class('w.word')} = b.key""",
 }
