@@ -129,32 +129,31 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], genera
     down = sorted(range(len(sizes)), key=lambda x: -sizes[x])
     pool: list[tuple[float, Bins]] = []
 
-    def add(bins: Bins) -> None:
-        pool.append((fitness(loads_of(bins, sizes), capacity), bins))
-
-    for bins in start:
-        add(bins)
-    while len(pool) < population:
+    def add(bins: Bins) -> bool:
+        """Is the search settled: does all room that is left lie in two containers at most, whose items
+        go on to the next stage?"""
+        loads = loads_of(bins, sizes)
+        pool.append((fitness(loads, capacity), bins))
+        return sum(x < WELL_FILLED * capacity for x in loads) <= 2
+
+    settled = any([add(bins) for bins in start])
+    while len(pool) < population and not settled:
         # largest first, at first strictly, then with some noise
         noise = 0.0 if not pool else rng.uniform(0.02, 0.3)
         order = sorted(down, key=lambda x: -sizes[x] * (1 + noise * rng.random())) if noise else down
         bins, loads = [], []
         place(order, sizes, bins, loads, capacity)
-        add(bins)
-    least = -(-sum(sizes) // capacity)
+        settled = add(bins)
     for _ in range(generations):
         pool.sort(key=lambda p: -p[0])
-        # as few containers as any packing needs, and the room that must be left is in two of them at most
-        if len(pool[0][1]) <= least and sum(x < WELL_FILLED * capacity for x in loads_of(pool[0][1], sizes)) <= 2:
+        del pool[population:]
+        parents = list(pool)
+        for _ in range(0 if settled else population):
+            a, b = rng.sample(parents, 2) if len(parents) > 1 else (parents[0], parents[0])
+            if settled := add(cross(a[1], b[1], loads_of(b[1], sizes), sizes, capacity, rng)):
+                break
+        if settled:
             break
-        children = []
-        for _ in range(population):
-            a, b = rng.sample(range(min(len(pool), population)), 2) if len(pool) > 1 else (0, 0)
-            giver = pool[b][1]
-            children.append(cross(pool[a][1], giver, loads_of(giver, sizes), sizes, capacity, rng))
-        for c in children:
-            add(c)
-        pool = sorted(pool, key=lambda p: -p[0])[:population]
     pool.sort(key=lambda p: -p[0])
     return [bins for _, bins in pool[:elites]]
 
