@@ -56,7 +56,7 @@ def swap_in(displaced: list[int], sizes: list[int], bins: Bins, loads: list[int]
     better; the items that are displaced afterwards."""
     todo = sorted(displaced, key=lambda x: -sizes[x])
     free: list[int] = []
-    open_ = [i for i, load in enumerate(loads) if load < capacity]
+    open_ = [i for i, load in enumerate(loads) if load < WELL_FILLED * capacity]
     while todo:
         x = todo.pop(0)
         s = sizes[x]
@@ -83,7 +83,7 @@ def swap_in(displaced: list[int], sizes: list[int], bins: Bins, loads: list[int]
         free += [bins[i][a] for a in out]
         bins[i] = [y for a, y in enumerate(bins[i]) if a not in out] + [x]
         loads[i] += best
-        if loads[i] == capacity:
+        if loads[i] >= WELL_FILLED * capacity:
             open_.remove(i)
     return free
 
