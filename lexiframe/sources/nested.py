@@ -173,18 +173,20 @@ def edges(o: Objects) -> DataFrame:
 
 def links(df: DataFrame) -> DataFrame:
     """(rec_id, obj_kind, child_id, parent_id): one row per object of each record."""
-    o = objects(df)
-    out = None
-    for kind in KINDS:
-        own = o.of(kind)
+
+    def row(kind: str, child: Column, parent: Column) -> Column:
+        return F.struct(F.lit(kind).alias("obj_kind"), child.alias("child_id"), parent.alias("parent_id"))
+
+    def parent_of(kind: str, x: Column) -> Column:
         if kind == "edge":
-            parent = F.col("a")
-        elif kind == "annotation":
-            parent = F.when(F.col("b") != "", F.col("b")).otherwise(F.col("parent"))
-        else:
-            parent = F.col("parent")
-        rows = own.select("rec_id", F.lit(kind).alias("obj_kind"), F.col("id").alias("child_id"), parent.alias("parent_id"))
+            return x["a"]
+        return F.when(x["b"] != "", x["b"]).otherwise(x["parent"]) if kind == "annotation" else x["parent"]
+
+    out = None
+    for p in objects(df).parts:
+        here = [k for k in KINDS if k in p.columns]
+        own = [F.transform(F.col(k), lambda x, k=k: row(k, x["id"], parent_of(k, x))) for k in here]
+        named = F.flatten(F.transform("annotation", lambda x: F.transform(feature_items(x["data"]), lambda f: row("feature", f["name"], x["id"]))))
+        rows = p.select("rec_id", F.inline(F.concat(*own, named)))
         out = rows if out is None else out.unionByName(rows)
-    f = o.of("annotation").where("data is not null")
-    f = f.select("rec_id", F.lit("feature").alias("obj_kind"), F.explode(F.transform(feature_items(F.col("data")), lambda x: x["name"])).alias("child_id"), F.col("id").alias("parent_id"))
-    return out.unionByName(f)
+    return out
