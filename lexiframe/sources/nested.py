@@ -182,10 +182,13 @@ def links(df: DataFrame) -> DataFrame:
             return x["a"]
         return F.when(x["b"] != "", x["b"]).otherwise(x["parent"]) if kind == "annotation" else x["parent"]
 
+    def own_rows(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x: row(kind, x["id"], parent_of(kind, x)))
+
     out = None
     for p in objects(df).parts:
         here = [k for k in KINDS if k in p.columns]
-        own = [F.transform(F.col(k), lambda x, k=k: row(k, x["id"], parent_of(k, x))) for k in here]
+        own = [own_rows(k) for k in here]
         named = F.flatten(F.transform("annotation", lambda x: F.transform(feature_items(x["data"]), lambda f: row("feature", f["name"], x["id"]))))
         rows = p.select("rec_id", F.inline(F.concat(*own, named)))
         out = rows if out is None else out.unionByName(rows)
