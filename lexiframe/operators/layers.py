@@ -43,6 +43,24 @@ def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return p.where(F.col("piece").rlike(r"^[\p{L}\p{P}\p{N}]")).select(id_col, "begin", "end", F.col("piece").alias("token"))
 
 
+def matches(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, begin, end, token): all matches of a pattern that matches no empty text, with their offsets
+    in the text. Each text's matches are marked with two characters that it doesn't hold."""
+    free = F.filter(F.lit([chr(c) for c in range(0xF8C0, 0xF900)]), lambda c: ~F.contains(text_col, c))
+    t = df.where(F.col(text_col).isNotNull()).select(id_col, text_col, free.alias("free"))
+    a = F.coalesce(F.get("free", 0), F.raise_error(F.lit("a text holds all marks")).cast("string"))
+    z = F.coalesce(F.get("free", 1), F.raise_error(F.lit("a text holds all marks")).cast("string"))
+    marked = F.regexp_replace(F.col(text_col), F.lit(f"({pattern})"), F.concat("a", F.lit("$1"), "z"))
+    t = t.select(id_col, text_col, a.alias("a"), z.alias("z")).select(id_col, "a", marked.alias("text"), F.concat("a", F.lit("[^"), "z", F.lit("]*"), "z", F.lit("|[^"), "a", F.lit("]+")).alias("cut"))
+    found = t.repartition(id_col).select(id_col, "a", F.posexplode(F.regexp_extract_all("text", F.col("cut"), F.lit(0))).alias("i", "piece"))
+    hit = F.col("piece").startswith(F.col("a"))
+    w = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length("piece") - F.when(hit, 2).otherwise(0)
+    p = found.withColumn("begin", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("int")).where(hit)
+    token = F.substring(F.col("piece"), F.lit(2), F.length("piece") - 2)
+    return p.select(id_col, "begin", (F.col("begin") + F.length(token)).alias("end"), token.alias("token"))
+
+
 def lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, begin, end, line): stretches that end after a run of line feeds. One of a single
     character is dropped; the rest behind the last line feed always comes out, though it be empty."""

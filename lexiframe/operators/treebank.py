@@ -25,13 +25,18 @@ SPLITS = {"cannot": 3, "lemme": 3, "gonna": 3, "gimme": 3, "wanna": 3, "gotta":
 # Treebank forms of brackets.
 FORMS = {"(": "-LRB-", ")": "-RRB-", "[": "-LSB-", "]": "-RSB-", "{": "-LCB-", "}": "-RCB-"}
 
-_CLITIC = r"(?:['’](?:s|S|d|D|m|M|ll|LL|re|RE|ve|VE))"
+_CLITIC = r"(?:['’](?:s|S|d|D|m|M|ll|LL|re|RE|ve|VE|[eE][mM]))"
+# French words that hang on the one before or behind, Polish endings that hang on a past form.
+_FRENCH = r"-t-elles?|-t-ils?|-t-on|-ce|-elles?|-ils?|-je|-la|-les?|-leur|-lui|-mêmes?|-moi|-nous|-on|-toi|-tu|-vous|-en|-y|-ci|-là"
+_FRENCH_FIRST = r"[dcjlmnstDCJLNMST]|[Qq]u|[Jj]usqu|[Ll]orsqu"
+_POLISH_ENDING = r"m|ś|śmy|ście"
 PATTERN = regex.compile(
     rf"""
-    (?P<url>(?:https?|ftp)://[^\s<>"]*[^\s<>".,;:!?)'’”\]])
+    (?P<url>(?:https?|ftp|file)://(?:\[[0-9A-Fa-f:.]+\])?[^\s<>"]*[^\s<>".,;:!?)'’”\]])
   | (?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
   | (?P<handle>[@\#]\w+)
-  | (?P<face>[:;=8][-o*']?[)(\[\]DPp/](?!\w))
+  | (?P<face>[:;=8][-o*']?[)(\[\]DPp/](?!\w)|[<>]?[;:=][-o']?[DdPp()/3>oO]+(?!\w)|(?<![\p{{L}}\d])[<>]?[BX8][-o']?[()/3>]+(?!\w)|</?3+|ಠ_ಠ)
+  | (?P<address>(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\d.]*\d)|\[(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}}\])
   | (?P<dots>…|\.(?:\ ?\.)+)
   | (?P<time>\d{{1,2}}\s?:\s?\d\d(?!\d))
   | (?P<abbr>(?:{'|'.join(ABBREVIATIONS)})\.(?=\s|$|,))
@@ -39,10 +44,17 @@ PATTERN = regex.compile(
   | (?P<degree>Ph\.D\.?|[A-Z]\.(?=\s+\p{{Lu}}))
   | (?P<number>[-+]?(?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:[.:/]\d+)*(?:st|nd|rd|th)?(?![\p{{L}}\d]))
   | (?P<host>[\p{{L}}\d]+(?:[-_.][\p{{L}}\d]+)*\.(?:com|org|net|edu|gov|txt|html|example)\b)
+  | (?P<polish>[\p{{L}}\d]{{2,}}?[lł][aeoiy]?(?=by(?:{_POLISH_ENDING})?(?![\p{{L}}\d])|(?:śmy|ście)(?![\p{{L}}\d]))|[\p{{L}}\d]{{2,}}?ł[aeoiy]?(?=[mś](?![\p{{L}}\d])))
+  | (?P<would>(?<=[lł][aeoiy]?)by(?=(?:{_POLISH_ENDING})?(?![\p{{L}}\d])))
+  | (?P<ending>(?<=[lł][aeoiy]?(?:by)?)(?:{_POLISH_ENDING})(?![\p{{L}}\d]))
+  | (?P<first>(?:{_FRENCH_FIRST})['’](?=[^\p{{L}}\d\s]))
+  | (?P<dye>d['’](?=ye\b)|['’][Tt](?=is\b))
+  | (?P<french>(?<=[\p{{L}}\d])(?:{_FRENCH})(?![\p{{L}}\d-]))
+  | (?P<host_word>[\p{{L}}\p{{M}}\d]+(?=(?:{_FRENCH})(?![\p{{L}}\d-])))
   | (?P<notword>\p{{L}}+(?=n['’]t\b))
   | (?P<not>n['’]t\b)
   | (?P<clitic>{_CLITIC}(?![\p{{L}}]))
-  | (?P<word>[\p{{L}}\p{{M}}\d]+(?:[-‐][\p{{L}}\p{{M}}\d]+)*(?:['’](?!(?:s|S|d|D|m|M|ll|LL|re|RE|ve|VE)\b)[\p{{L}}]+)*)
+  | (?P<word>[\p{{L}}\p{{M}}\d]+(?:[-‐]\n*[\p{{L}}\p{{M}}\d]+)*(?:['’](?!(?:s|S|d|D|m|M|ll|LL|re|RE|ve|VE|[eE][mM])\b)[\p{{L}}]+)*)
   | (?P<dash>--+|—|–)
   | (?P<run>[?!]+)
   | (?P<quote>``|''|["“”„«»]|[‘’'`])
@@ -82,6 +94,8 @@ def tokenize(text: str) -> list[str]:
             out += [t[:at], t[at:]]
         elif kind in ("clitic", "not"):
             out.append(t.replace("’", "'"))
+        elif kind == "word":
+            out.append(t.replace("\n", ""))  # a line may break behind a word's dash
         else:
             out.append(t)
     if last is not None and last.lastgroup in ("abbr", "acronym", "degree") and last[0].endswith(".") and not text[last.end() :].strip():

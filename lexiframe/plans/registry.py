@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "token_counts"
 #: Modules of this package that hold QUERIES and SQL.
-MODULES: list[str] = ["records", "text", "words", "spans", "models", "corpora", "features", "files", "crfs"]
+MODULES: list[str] = ["records", "text", "words", "spans", "models", "corpora", "features", "files", "crfs", "structures", "boundaries"]
 
 
 def _all(name: str) -> dict:
