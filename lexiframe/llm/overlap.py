@@ -173,7 +173,8 @@ def candidates(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
     radius = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + F.lit(1e-9))
     far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     # a pair belongs to the blocks of one radius: the least that is no smaller than its own
-    own = F.element_at(F.filter(F.lit(all_radii), lambda x: x >= radius), 1) == F.shiftright("ask", _WIDE * (EQUAL - 1))
+    level = F.when(radius <= SMALL, radius).otherwise(F.element_at(F.filter(F.lit(all_radii), lambda x: x >= radius), 1))
+    own = level == F.shiftright("ask", _WIDE * (EQUAL - 1))
     for depth in range(1, EQUAL + 1):
         b = cut(_blocks(todo, depth, all_radii, threshold, min_words))
         held = b.groupBy("block").agg(F.count_if("in_train").alias("nt"), F.count_if("in_eval").alias("ne"))
@@ -182,9 +183,12 @@ def candidates(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
         scratch += [b, held]
         shared = b.join(held, "block")
         final = shared if depth == EQUAL else shared.where("not crowded")
+        # only blocks that can't be refined any more may be crowded still
+        last = depth == EQUAL
         parts = F.when(F.col("crowded"), F.lit(SALT)).otherwise(F.lit(1))
-        left = final.where("in_train").select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "ask", F.col("rep").alias("train_rep"), F.col("n").alias("na"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
-        right = final.where("in_eval").select("block", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("eval_rep"), F.col("n").alias("nb"), "b0", "b1")
+        every = F.explode(F.sequence(F.lit(0), parts - 1)) if last else F.lit(0)
+        left = final.where("in_train").select("block", every.alias("part"), "ask", F.col("rep").alias("train_rep"), F.col("n").alias("na"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
+        right = final.where("in_eval").select("block", (F.pmod(F.xxhash64("rep"), parts).cast("int") if last else F.lit(0)).alias("part"), F.col("rep").alias("eval_rep"), F.col("n").alias("nb"), "b0", "b1")
         met = left.join(right, ["block", "part"]).where((F.col("train_rep") != F.col("eval_rep")) & (far <= radius) & own)
         met = cut(met.select("train_rep", "eval_rep").distinct())
         scratch.append(met)
@@ -213,12 +217,15 @@ def overlaps(sentences: DataFrame, portions: DataFrame, threshold: float = 0.75,
     """
     s = sentences.where("sent_id is not null and words is not null and section_id is not null")
     s = s.select("sent_id", "section_id", "source", word_set(F.col("words")).alias("words")).where(F.size("words") >= min_words)
-    s = s.join(section_splits(portions), "section_id")
-    s = cut(s.groupBy("sent_id", "split").agg(F.first("words").alias("words"), F.first("source").alias("source")))
+    # a set is known by 128 bits of its words' hash, so its words are shuffled once
+    key = F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
+    s = cut(s.join(section_splits(portions), "section_id").withColumn("set", key))
     is_train = F.col("split") == train
-    sets = s.groupBy("words").agg(F.min("sent_id").alias("rep"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
+    sets = s.groupBy("set").agg(F.first("words").alias("words"), F.min("sent_id").alias("rep"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
     sets = cut(sets.withColumn("n", F.size("words")))
-    members = s.join(sets.select("words", "rep"), "words").select("rep", "sent_id", "split", "source")
+    # a sentence counts once per split, however often it was delivered
+    one = s.groupBy("sent_id", "split").agg(F.min_by(F.struct("set", "source"), F.struct("set", "source")).alias("m"))
+    members = one.select("sent_id", "split", "m.set", "m.source").join(sets.select("set", "rep"), "set").select("rep", "sent_id", "split", "source")
     near = candidates(sets, threshold, min_words)
     wa = sets.select(F.col("rep").alias("train_rep"), F.col("words").alias("wa"))
     wb = sets.select(F.col("rep").alias("eval_rep"), F.col("words").alias("wb"))

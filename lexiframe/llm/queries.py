@@ -130,6 +130,11 @@ SQL: dict[str, str] = {
  FROM e a JOIN e b ON a.split = 'train' AND b.split <> 'train' AND a.sent_id <> b.sent_id
   AND len(a.words) * 3 <= len(b.words) * 4 AND len(b.words) * 3 <= len(a.words) * 4
  WHERE len(list_intersect(a.words, b.words)) * 4 >= 3 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))""",
+    "p3_report": "WITH " + _WORDS + """
+ SELECT b.split, d.source, count(DISTINCT b.sent_id) AS n_sent, count(*) AS n_links
+ FROM e a JOIN e b ON a.split = 'train' AND b.split <> 'train' AND len(a.words) * 3 <= len(b.words) * 4 AND len(b.words) * 3 <= len(a.words) * 4 JOIN d ON d.sent_id = b.sent_id
+ WHERE len(list_intersect(a.words, b.words)) * 4 >= 3 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) GROUP BY 1, 2""",
+    "p2_search": _USABLE + " SELECT a AS vec_id, CAST(rank AS INT) AS rank, b AS neighbour_id, cosine FROM r WHERE rank <= 5 AND a % 50 = 0",
     "p5_found": _P5 + """
  SELECT term_field, term, CASE WHEN n_rec < 3 THEN 'rare' ELSE 'common' END AS mark FROM c
  WHERE n_rec < 3 OR n_rec > 0.2 * (SELECT count(DISTINCT sent_id) FROM sentences)""",
