@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiframe.session import spread
+
 #: Java's white space, written out so that other engines read the class alike.
 WS = r" \t\n\x0B\f\r"
 SENTENCE = rf"[^{WS}.!?][^.!?]++[.!?]|[^{WS}.!?]++\z"
@@ -22,7 +24,7 @@ def pieces(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str =
     The offsets are running sums of the pieces' lengths within a text. The texts are shuffled by
     their id before they are cut, so what moves is the input and not the pieces.
     """
-    found = df.repartition(id_col).select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("i", "piece"))
+    found = spread(df.select(id_col, text_col), id_col).select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("i", "piece"))
     w = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("int")
     return found.withColumn("begin", begin).withColumn("end", (F.col("begin") + F.length("piece")).cast("int"))
@@ -52,7 +54,7 @@ def matches(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str =
     z = F.coalesce(F.get("free", 1), F.raise_error(F.lit("a text holds all marks")).cast("string"))
     marked = F.regexp_replace(F.col(text_col), F.lit(f"({pattern})"), F.concat("a", F.lit("$1"), "z"))
     t = t.select(id_col, text_col, a.alias("a"), z.alias("z")).select(id_col, "a", marked.alias("text"), F.concat("a", F.lit("[^"), "z", F.lit("]*"), "z", F.lit("|[^"), "a", F.lit("]+")).alias("cut"))
-    found = t.repartition(id_col).select(id_col, "a", F.posexplode(F.regexp_extract_all("text", F.col("cut"), F.lit(0))).alias("i", "piece"))
+    found = spread(t, id_col).select(id_col, "a", F.posexplode(F.regexp_extract_all("text", F.col("cut"), F.lit(0))).alias("i", "piece"))
     hit = F.col("piece").startswith(F.col("a"))
     w = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     n = F.length("piece") - F.when(hit, 2).otherwise(0)

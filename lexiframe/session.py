@@ -47,9 +47,16 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+def _plain_unions(spark: SparkSession) -> None:
+    """Spark 4.1 keeps the partitioning of a union's sides and then gives wrong rows where the union is
+    broadcast (layers.nearest over texts shuffled by their id); without it the union is shuffled as ever."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; a file or a folder of part files."""
     ship(spark)
+    _plain_unions(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -93,5 +100,6 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     The number is stated, so small data isn't gathered into a few tasks after the shuffle.
     """
     spark = df.sparkSession
+    _plain_unions(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)

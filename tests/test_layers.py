@@ -64,3 +64,11 @@ def test_empty_table(spark):
     df = frame(spark, [])
     assert layers.sentences(df).count() == layers.tokens(df).count() == layers.lines(df).count() == 0
     assert set(text.SQL) <= set(text.QUERIES)
+
+
+def test_nearest_over_texts_shuffled_by_their_id(spark):
+    """A sentence's next token begins where it ends or behind; the last one of a text has none."""
+    rows = [(i, f"The dog {i} ran. It fell? Yes", "x") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra string")
+    got = layers.nearest(layers.sentences(docs), layers.tokens(docs))
+    assert got.where("following_begin is not null").count() == 400 and got.where("preceding_end is not null").count() == 400 and got.count() == 600
