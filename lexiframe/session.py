@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -85,6 +86,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(), and the number of rows as the writing job itself saw it."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def release(df: DataFrame | None) -> None:
     """Deletes the table behind a frame that cut() gave and that no later plan reads."""
     path = getattr(df, "_lexiframe_path", None)
