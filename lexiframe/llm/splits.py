@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.session import cut, release
+from lexiframe.session import cut, cut_counted, release
 
 #: Hash buckets of the running total over components.
 WEIGHT_BUCKETS = 1024
@@ -37,10 +37,10 @@ def links(sentences: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(vertex, root): for every vertex that has an edge (u, v), the vertex its component fell into."""
-    edges = cut(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges, n = cut_counted(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mates: list[DataFrame] = []
     for r in range(max_rounds):
-        if edges.isEmpty():
+        if not n:
             break
         coin = lambda c, r=r: F.xxhash64(F.lit(r), c).bitwiseAND(1)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -51,7 +51,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         to_v = mate.select(F.col("x").alias("v"), F.col("p").alias("pv"))
         e = edges.join(to_u, "u", "left").join(to_v, "v", "left")
         e = e.select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v")).where("u <> v")
-        new = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        new, n = cut_counted(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         release(edges)
         edges = new
     else:
