@@ -133,6 +133,21 @@ def test_lists(spark, tmp_path):
     assert {(r.kind, r.parent, r.children, r.n) for r in lists.project_states(s).collect()} == {("binary", "NP", "DT NN", 2), ("unary", "TOP", "S", 1), ("unary", "PRT", "RP", 1)}
 
 
+def test_vector_options(spark, tmp_path):
+    import numpy as np
+    from lexiframe.sources import vectors
+
+    data = b"2 3\n" + b"dog " + np.array([1, 2, 3], "<f4").tobytes() + b"\ncat " + np.array([4, 5, 6], "<f4").tobytes()
+    (tmp_path / "v.bin").write_bytes(data)
+    words = spark.createDataFrame([("cat",), ("cow",), ("cat",)], "word string")
+    assert [(r.word, r.vec) for r in vectors.read_binary(spark, str(tmp_path / "v.bin"), words, bias=True).collect()] == [("cat", [4.0, 5.0, 6.0, 1.0])]
+    a = spark.createDataFrame([("x", [1.0, 2.0])], "word string, vec array<float>")
+    b = spark.createDataFrame([("y", [3.0])], "word string, vec array<float>")
+    assert {r.word: r.vec for r in vectors.merge([(a, 2), (b, 1)], longest=2).collect()} == {"x": [1.0, 2.0], "y": [0.0, 0.0]}
+    drawn = {r.word: r.vec for r in vectors.merge([(a, 2), (b, 1)], draw=True).collect()}
+    assert drawn["x"][:2] == [1.0, 2.0] and drawn["y"][2] == 3.0 and all(-1 <= v <= 1 and v != 0 for v in [drawn["x"][2], *drawn["y"][:2]])
+
+
 def test_store(spark, tmp_path):
     store = lists.ModelStore(spark, str(tmp_path / "models"))
     assert store.find("tag") is None
