@@ -68,10 +68,25 @@ def tree_tagged_sequence(spark, d):
     return evaluation.tagging(leaves.join(t, ["sent_id", "pos"]))
 
 
+def _confused(nodes):
+    """The nodes as a guesser would have them who calls prepositional phrases that begin at an even place
+    noun phrases, drops verb phrases of one word and reads past tenses as participles."""
+    even, short = F.col("begin") % 2 == 0, F.col("end") == F.col("begin") + 1
+    label = F.when((F.col("label") == "PP") & even, "NP").when((F.col("label") == "VBD") & even, "VBN").otherwise(F.col("label"))
+    return nodes.where(~((F.col("label") == "VP") & short & F.col("word").isNull())).withColumn("label", label)
+
+
 def bracket_prf(spark, d):
-    """Labelled brackets of the trees against those of the trees without noun phrases."""
-    n = trees.node_table(_trees(spark, d)).where("word is null and label not in ('TOP', '')").select("sent_id", "label", "begin", "end")
-    return evaluation.precision_recall(n, n.where("label <> 'NP'"), ["sent_id", "label", "begin", "end"], ["label"])
+    """Labelled brackets of the trees against those of a guesser with known faults."""
+    n = trees.node_table(_trees(spark, d))
+    keep = lambda df: df.where("word is null and label not in ('TOP', '')").select("sent_id", "label", "begin", "end")
+    return evaluation.precision_recall(keep(n), keep(_confused(n)), ["sent_id", "label", "begin", "end"], ["label"])
+
+
+def bracket_scores(spark, d):
+    """The same guesser by all scores of a parse evaluation: brackets, exact matches and tags."""
+    n = trees.node_table(_trees(spark, d))
+    return evaluation.brackets(n, _confused(n))
 
 
 def _hmm(spark, d):
@@ -137,7 +152,7 @@ def parse_eval(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     tree_nodes, tree_parents, tree_leaves, tree_productions, tree_valid, tree_render, tree_standard, tree_parent_annotated, tree_binarized,
-    tree_round_trip, tree_dependencies, tree_tagged_sequence, bracket_prf, hmm_emissions, hmm_viterbi, crf_posterior, hmm_accuracy,
+    tree_round_trip, tree_dependencies, tree_tagged_sequence, bracket_prf, bracket_scores, hmm_emissions, hmm_viterbi, crf_posterior, hmm_accuracy,
     pcfg_rules, pcfg_parse, pcfg_max_constituent, pcfg_kbest, parse_eval,
 )}
 
@@ -151,6 +166,8 @@ _TREE = ONE + r""",
    CASE WHEN word NOT IN ('(', ')') THEN CASE word WHEN '-LRB-' THEN '(' WHEN '-RRB-' THEN ')' WHEN '-LSB-' THEN '[' WHEN '-RSB-' THEN ']' WHEN '-LCB-' THEN '{' WHEN '-RCB-' THEN '}' ELSE word END END AS word
    FROM op JOIN cl USING (sent_id, dep, k)),
  par AS (SELECT c.*, p.node AS parent, p.label AS parent_label FROM node c JOIN node p ON c.sent_id = p.sent_id AND p.depth = c.depth - 1 AND p.oi < c.oi AND p.ci > c.ci)"""
+_GUESS = """guess AS (SELECT sent_id, b, e, word, CASE WHEN label = 'PP' AND b % 2 = 0 THEN 'NP' WHEN label = 'VBD' AND b % 2 = 0 THEN 'VBN' ELSE label END AS label
+   FROM node WHERE NOT (label = 'VP' AND e = b + 1 AND word IS NULL))"""
 _HMM = f"""WITH {TAGGED}, c AS (SELECT word, tag, count(*) AS ctw FROM tagged GROUP BY 1, 2), cw AS (SELECT word, sum(ctw) AS cw FROM c GROUP BY 1), ct AS (SELECT tag, sum(ctw) AS ct FROM c GROUP BY 1),
  z AS (SELECT count(DISTINCT word) AS v, sum(ctw) AS total FROM c),
  a AS (SELECT word, tag, ct, total, CASE WHEN cw < 10 THEN cw + 1 ELSE cw END AS cw, CASE WHEN cw < 10 THEN ctw + ct / v ELSE ctw END AS ctw FROM c JOIN cw USING (word) JOIN ct USING (tag), z)"""
@@ -168,8 +185,16 @@ SQL = {
     "tree_tagged_sequence": f"""WITH {_TREE}, tg AS (SELECT sent_id, tok_idx AS pos, min(upper(trim(tag))) AS tag FROM pos_tags WHERE sent_id IS NOT NULL AND tok_idx IS NOT NULL AND trim(tag) <> '' GROUP BY 1, 2),
  w AS (SELECT sent_id, len(words) AS n FROM one), p AS (SELECT node.sent_id, node.label = tg.tag AS r FROM node JOIN tg ON node.sent_id = tg.sent_id AND node.b = tg.pos JOIN w ON w.sent_id = node.sent_id AND node.b < w.n WHERE word IS NOT NULL),
  s AS (SELECT sent_id, count(*) AS n, count(*) FILTER (r) AS r FROM p GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(r) AS BIGINT) AS n_right, count(*) AS n_sentences, count(*) FILTER (n = r) AS n_exact FROM s""",
-    "bracket_prf": f"""WITH {_TREE}, g AS (SELECT DISTINCT sent_id, label, b, e FROM node WHERE word IS NULL AND label NOT IN ('TOP', '')),
- c AS (SELECT label, count(*) AS n_gold, count(*) FILTER (label <> 'NP') AS n_guess, count(*) FILTER (label <> 'NP') AS n_right FROM g GROUP BY 1)
- SELECT *, 1.0 AS precision, round(n_right / n_gold, 6) AS recall, round(2 * n_right / (n_gold + n_guess), 6) AS f1 FROM c""",
+    "bracket_prf": f"""WITH {_TREE}, {_GUESS}, g AS (SELECT DISTINCT sent_id, label, b, e FROM node WHERE word IS NULL AND label NOT IN ('TOP', '')), p AS (SELECT DISTINCT sent_id, label, b, e FROM guess WHERE word IS NULL AND label NOT IN ('TOP', '')),
+ u AS (SELECT coalesce(g.label, p.label) AS label, g.sent_id IS NOT NULL AS ig, p.sent_id IS NOT NULL AS ip FROM g FULL JOIN p ON g.sent_id = p.sent_id AND g.label = p.label AND g.b = p.b AND g.e = p.e),
+ c AS (SELECT label, count(*) FILTER (ig) AS n_gold, count(*) FILTER (ip) AS n_guess, count(*) FILTER (ig AND ip) AS n_right FROM u GROUP BY 1)
+ SELECT *, round(CASE WHEN n_guess = 0 THEN 1.0 ELSE n_right / n_guess END, 6) AS precision, round(CASE WHEN n_gold = 0 THEN 1.0 ELSE n_right / n_gold END, 6) AS recall, round(2 * n_right / (n_gold + n_guess), 6) AS f1 FROM c""",
+    "bracket_scores": f"""WITH {_TREE}, {_GUESS}, i AS (SELECT unnest(['', 'TOP', '''''', '``', '.', ':', ',']) AS x),
+ g AS (SELECT DISTINCT sent_id, label, b, e FROM node WHERE word IS NULL AND label NOT IN (SELECT x FROM i)), p AS (SELECT DISTINCT sent_id, label, b, e FROM guess WHERE word IS NULL AND label NOT IN (SELECT x FROM i)),
+ r AS (SELECT g.* FROM g JOIN p USING (sent_id, label, b, e)), ids AS (SELECT DISTINCT sent_id FROM node),
+ s AS (SELECT sent_id, (SELECT count(*) FROM g WHERE g.sent_id = ids.sent_id) AS ng, (SELECT count(*) FROM p WHERE p.sent_id = ids.sent_id) AS np, (SELECT count(*) FROM r WHERE r.sent_id = ids.sent_id) AS nr FROM ids),
+ t AS (SELECT count(*) AS n_tags, count(*) FILTER (NOT (label = 'VBD' AND b % 2 = 0)) AS n_tags_right FROM node WHERE word IS NOT NULL AND e > b),
+ a AS (SELECT CAST(sum(ng) AS BIGINT) AS n_gold, CAST(sum(np) AS BIGINT) AS n_guess, CAST(sum(nr) AS BIGINT) AS n_right, count(*) AS n_sentences, count(*) FILTER (ng = nr AND np = nr) AS n_exact FROM s)
+ SELECT a.*, round(n_right / n_guess, 6) AS precision, round(n_right / n_gold, 6) AS recall, round(2 * n_right / (n_gold + n_guess), 6) AS f1, t.* FROM a, t""",
     "hmm_emissions": f"{_HMM} SELECT word, tag, round(ln(cw / (total + 1)) + ln(ctw / cw) - ln(ct / total), 6) AS score FROM a",
 }
