@@ -112,6 +112,69 @@ def fit(rows: DataFrame, labels: list[str], loss: str = "log", passes: int = 8,
     return total / passes if loss in ("perceptron", "mira") else w
 
 
+def online_pass(w: np.ndarray, features: list[np.ndarray], gold: np.ndarray, loss: str, cap: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, sum of the weights over the steps) after one update per row, in order.
+
+    perceptron: the gold's and the wrongly best label's weights move by one. mira: they move by the
+    least that gives the gold a margin of one, at most by `cap`."""
+    w = w.copy()
+    late = np.zeros_like(w)  # moves by the step they were made at, for the sum over all steps
+    rows = np.arange(len(w))
+    for step, (f, y) in enumerate(zip(features, gold)):
+        s = w[:, f].sum(axis=1)
+        if loss == "mira":
+            m = s + (rows != y)
+            z = int(m.argmax())
+            size = min(cap, (m[z] - s[y]) / (2 * max(1, len(f))))
+        else:
+            z = int(s.argmax())
+            size = 1.0
+        if z != y:
+            w[y, f] += size
+            w[z, f] -= size
+            late[y, f] += size * step
+            late[z, f] -= size * step
+    return w, w * len(gold) - late
+
+
+def fit_online(rows: DataFrame, labels: list[str], loss: str = "perceptron", passes: int = 5, buckets: int = BUCKETS) -> np.ndarray:
+    """Averaged weights (labels, buckets) of an online learner over distributed rows (features, label).
+
+    In every pass each partition updates the common weights row by row, in its own order; the
+    partitions' weights are then mixed by their mean, and their sums over all steps give the average.
+    What comes to the driver is labels times buckets at most."""
+    of = {y: i for i, y in enumerate(labels)}
+    w = np.zeros((len(labels), buckets))
+    total, steps = np.zeros_like(w), 0.0
+    for _ in range(passes):
+        sent = rows.sparkSession.sparkContext.broadcast(w)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            here, summed, n = sent.value, np.zeros_like(sent.value), 0
+            for b in batches:
+                b = b[b["label"].isin(of)]
+                if len(b):
+                    here, s = online_pass(here, [np.asarray(f, dtype=np.int64) for f in b["features"]], b["label"].map(of).to_numpy(), loss)
+                    summed, n = summed + s, n + len(b)
+            if n:
+                d = here - sent.value
+                k, f = np.nonzero((d != 0) | (summed != 0))
+                yield pd.DataFrame({"k": np.r_[-1, k], "f": np.r_[-1, f], "d": np.r_[1.0, d[k, f]], "s": np.r_[float(n), summed[k, f]]})
+
+        sums = rows.select("features", "label").mapInPandas(run, "k int, f int, d double, s double").groupBy("k", "f").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+        move, parts = np.zeros_like(w), 1.0
+        for r in sums.collect():  # at most labels times buckets
+            if r["k"] < 0:
+                parts, n = r["d"], r["s"]
+                steps += n
+            else:
+                move[r["k"], r["f"]] = r["d"]
+                total[r["k"], r["f"]] += r["s"]
+        sent.unpersist()
+        w = w + move / parts
+    return total / steps if steps else total
+
+
 def predict(rows: DataFrame, w: np.ndarray, labels: list[str], keep: list[str]) -> DataFrame:
     """Adds `pred` to rows with a features column."""
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)

@@ -11,7 +11,7 @@ from lexiframe.functions import stemming
 from lexiframe.functions import words as W
 from lexiframe.operators import dense, evaluation, layers, learning, spans, treebank
 from lexiframe.plans.common import ONE, TAGGED, TOK, documents, held_out, one_sentences, tagged, tokens, training
-from lexiframe.session import shared_dir, table
+from lexiframe.session import cut, shared_dir, table
 from lexiframe.sources import columns, vectors
 from lexiframe.streaming import segmenter
 
@@ -149,7 +149,8 @@ def _learn(loss, optimizer="adagrad"):
         rows = _training(spark, d)
         train = training(rows, spark, d)
         labels = sorted(r[0] for r in train.select("label").distinct().collect())  # the tag set
-        w = learning.fit(train, labels, loss, 5, optimizer=optimizer)
+        train = cut(train.select("features", "label"))  # read once per pass
+        w = learning.fit_online(train, labels, loss) if loss in ("perceptron", "mira") else learning.fit(train, labels, loss, 5, optimizer=optimizer)
         p = learning.predict(held_out(rows, spark, d), w, labels, ["sent_id", "pos", "label"])
         return evaluation.tagging(p.withColumnRenamed("label", "gold"))
 

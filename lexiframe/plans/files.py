@@ -213,6 +213,8 @@ def _sql():
 
     return {
         "treebank_folders": f"WITH {_TREES} SELECT CASE WHEN sent_id IN (SELECT sent_id FROM held) THEN 'test' ELSE 'train' END AS split, tree FROM t",
+        "treebank_processed": f"""WITH {_TREES}, w AS (SELECT sent_id IN (SELECT sent_id FROM held) AS h, len(regexp_extract_all(tree, '[^()\\s]+\\)')) AS k FROM t),
+ c AS (SELECT count(*) FILTER (NOT h) AS n, count(*) FILTER (h) AS dev FROM w) SELECT 'dev' AS split, CAST(dev + n - floor(n * 0.9) AS BIGINT) AS n FROM c UNION ALL SELECT 'train', CAST(floor(n * 0.9) AS BIGINT) FROM c""",
         "bucketed_trees": f"""WITH {_TREES}, b AS (SELECT CAST(len(regexp_extract_all(tree, '[^()\\s]+\\)')) // 10 * 10 AS INT) AS bucket FROM t)
  SELECT side, bucket, count(*) AS n FROM b, (SELECT unnest(['gold', 'guess']) AS side) GROUP BY 1, 2""",
         "column_sentences": f"""WITH {TOK}, w AS (SELECT sent_id, pos, regexp_replace(CASE WHEN word = '' THEN '_' ELSE word END, '\\s', '_', 'g') AS word FROM tok)

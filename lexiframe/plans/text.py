@@ -97,6 +97,18 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).where("text is not null").select("doc_id", markup.text(F.col("text")).alias("plain"))
 
 
+def html_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text set into a page between a menu and a list of links, and its article taken out again."""
+    from lexiframe.sources import markup
+
+    menu = F.lit("<html><head><title>A page</title></head><body><ul><li><a href='/'>Home</a></li><li><a href='/b'>About us</a></li></ul><p>")
+    links = F.lit("</p><div><a href='/1'>more of this</a> <a href='/2'>and of that</a></div></body></html>")
+    body = F.replace(F.replace(F.regexp_replace("text", r"\s+", " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(menu, body, links)
+    p = documents(spark, d).where("text is not null").select("doc_id", page.alias("h"))
+    return p.select("doc_id", markup.page_title(F.col("h")).alias("title"), markup.main_text(F.col("h")).alias("main"))
+
+
 def word_vocabulary_difference(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of English documents that no other document has."""
     docs = documents(spark, d)
@@ -107,7 +119,7 @@ def word_vocabulary_difference(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     sentence_regex, token_regex, token_counts, token_whitespace, split_regex, newline_sentences, tokens_in_sentence,
-    tokens_near_sentence, layer_union, layer_drop, spanned_text, tsv_lines, topk_tokens, length_buckets, html_text,
+    tokens_near_sentence, layer_union, layer_drop, spanned_text, tsv_lines, topk_tokens, length_buckets, html_text, html_main_text,
     word_vocabulary_difference,
 )}
 

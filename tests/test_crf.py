@@ -131,3 +131,35 @@ def test_fit_on_frames(spark):
     got = {(r.sent_id, r.pos): r.tag for r in crf.tag(s, m).collect()}
     assert sum(got[i, p] == y for i, p, _, y in rows) == len(rows)
     assert crf.tag(s.limit(0), m).count() == 0
+
+
+@pytest.mark.parametrize("loss", ["perceptron", "mira"])
+def test_online_learners(spark, loss):
+    from lexiframe.operators import learning
+
+    rng = np.random.default_rng(7)
+    rows = [([int(y * 3 + rng.integers(3)), int(9 + rng.integers(5))], "abc"[y]) for y in rng.integers(0, 3, 400)]
+    df = spark.createDataFrame(rows, "features array<int>, label string").repartition(3)
+    w = learning.fit_online(df, ["a", "b", "c"], loss, 3, 16)
+    p = learning.predict(df, w, ["a", "b", "c"], ["label"])
+    assert p.where("label = pred").count() == 400
+    assert not learning.fit_online(df.limit(0), ["a", "b"], loss, 1, 4).any()
+
+
+def test_an_online_pass_is_step_by_step():
+    from lexiframe.operators import learning
+
+    rng = np.random.default_rng(8)
+    feats, gold = [rng.choice(6, 2, replace=False) for _ in range(30)], rng.integers(0, 3, 30)
+    w, total = np.zeros((3, 6)), np.zeros((3, 6))
+    for f, y in zip(feats, gold):
+        z = int(w[:, f].sum(axis=1).argmax())
+        if z != y:
+            w[y, f] += 1
+            w[z, f] -= 1
+        total += w
+    got, summed = learning.online_pass(np.zeros((3, 6)), feats, gold, "perceptron")
+    assert np.allclose(got, w) and np.allclose(summed, total)
+    m, _ = learning.online_pass(np.zeros((2, 6)), feats[:1], np.array([0]), "mira")
+    s = m[:, feats[0]].sum(axis=1)
+    assert s[0] - s[1] == pytest.approx(1.0)  # the least move that gives a margin of one

@@ -72,3 +72,34 @@ def test_nearest_over_texts_shuffled_by_their_id(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra string")
     got = layers.nearest(layers.sentences(docs), layers.tokens(docs))
     assert got.where("following_begin is not null").count() == 400 and got.where("preceding_end is not null").count() == 400 and got.count() == 600
+
+
+PAGE = """<html><head><title> A &amp; B </title><style>p {x: y}</style></head><body>
+<ul><li><a href="/">Home</a></li><li><a href="/x">All about us and them</a></li></ul>
+<h1>The bridge</h1>
+<p>The old bridge was closed for repairs, and the people of the town had to walk around the lake for weeks.
+<p>Nobody knew when it would be opened again, as the <a href="/c">council</a> had said nothing about the work until then.</p>
+<div><a href="/1">one more story</a> | <a href="/2">and another one</a></div><p>Imprint</p><script>var a = "<p>no</p>";</script></body></html>"""
+
+
+def test_main_text_and_title(spark):
+    from lexiframe.sources import markup
+
+    df = spark.createDataFrame([(PAGE,), (None,), ("",), ("plain words only",)], "h string")
+    got = df.select(markup.main_text(F.col("h")).alias("m"), markup.page_title(F.col("h")).alias("t")).collect()
+    lines = got[0].m.split("\n")
+    assert lines[0] == "The bridge" and lines[1].startswith("The old bridge") and lines[-1].endswith("until then.") and got[0].t == "A & B"
+    assert "Home" not in got[0].m and "story" not in got[0].m and got[1].m is None and got[2].m == "" and got[2].t is None
+
+
+def test_xhtml_is_well_formed(spark):
+    from xml.etree import ElementTree
+
+    from lexiframe.sources import markup
+
+    df = spark.createDataFrame([(PAGE,), (None,), ("<b>a<i>b</b>c</i><br>&lt;",), ("",)], "h string")
+    got = [r[0] for r in df.select(markup.xhtml(F.col("h"))).collect()]
+    for x in got:
+        if x is not None:
+            ElementTree.fromstring(x)
+    assert got[1] is None and got[2] == "<body><b>a<i>b</i></b>c<br/>&lt;</body>"
