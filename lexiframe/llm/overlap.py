@@ -33,7 +33,7 @@ BITS, FOLD = 4096, 128
 #: Segments that are equal within the radius: the most that a block is made of.
 EQUAL = 3
 #: Candidates per set of a block above which it is refined.
-CROWD = 64
+CROWD = 256
 #: Radii up to this have segments of their own; above it they are rounded up by a seventh at most.
 SMALL = 14
 #: Parts that a block of EQUAL segments is split into where it is still crowded.
@@ -215,11 +215,13 @@ def overlaps(sentences: DataFrame, portions: DataFrame, threshold: float = 0.75,
     class. Sentences are taken once per sent_id; those in no split, with null words or fewer than
     min_words distinct words take no part.
     """
-    s = sentences.where("sent_id is not null and words is not null and section_id is not null")
-    s = s.select("sent_id", "section_id", "source", word_set(F.col("words")).alias("words")).where(F.size("words") >= min_words)
+    # what is in no split or too short anyway is dropped before its words are looked at
+    s = sentences.where("sent_id is not null and words is not null and section_id is not null").where(F.size("words") >= min_words)
+    s = s.select("sent_id", "section_id", "source", "words").join(section_splits(portions), "section_id")
+    s = s.select("sent_id", "split", "source", word_set(F.col("words")).alias("words")).where(F.size("words") >= min_words)
     # a set is known by 128 bits of its words' hash, so its words are shuffled once
     key = F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
-    s = cut(s.join(section_splits(portions), "section_id").withColumn("set", key))
+    s = cut(s.withColumn("set", key))
     is_train = F.col("split") == train
     sets = s.groupBy("set").agg(F.first("words").alias("words"), F.min("sent_id").alias("rep"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"))
     sets = cut(sets.withColumn("n", F.size("words")))
