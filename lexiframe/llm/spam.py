@@ -75,6 +75,9 @@ FOREIGN = 0.1
 #: Characters that are measured together; longer texts are measured alone.
 TOGETHER = 1_000_000
 
+#: Words that a worker keeps codes of before it begins anew.
+BOOK = 200_000
+
 _M = [c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"]
 _MARKS = "".join(chr(c) for c in _M)
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -190,14 +193,17 @@ class _Book(dict):
 
 def _bits(of: list[int], forms: np.ndarray, n: int) -> np.ndarray:
     """(words, n): the bits of each word's form."""
-    table = np.array(of, dtype=object)
-    flags = np.array([[x >> i & 1 for i in range(n)] for x in table], dtype=bool).reshape(-1, n)
-    return flags[forms]
+    if n < 63:
+        flags = (np.array(of, dtype=np.int64)[:, None] >> np.arange(n)) & 1
+    else:
+        flags = np.array([[x >> i & 1 for i in range(n)] for x in of])
+    return flags.astype(bool).reshape(-1, n)[forms]
 
 
-def measure(texts: list[str | None], said: list[str | None], profiles: Profiles) -> tuple[list[str], list[bool], np.ndarray, np.ndarray]:
-    """(language, is it in doubt) of each text and (text, counts in the order of COLUMNS) of each unit."""
-    book = _Book(profiles)
+def measure(texts: list[str | None], said: list[str | None], profiles: Profiles, book: _Book | None = None) -> tuple[list[str], list[bool], np.ndarray, np.ndarray]:
+    """(language, is it in doubt) of each text and (text, counts in the order of COLUMNS) of each unit.
+    A book may be handed on from call to call; what it holds of words doesn't depend on the texts."""
+    book = _Book(profiles) if book is None else book
     n_docs = len(texts)
     lang: list[str] = ["none"] * n_docs
     unspaced = np.zeros(n_docs, dtype=bool)
@@ -391,10 +397,13 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = Profiles(learned)
+        book = _Book(profiles)
         for b in batches:
             texts, said = b["text"].tolist(), b["lang"].tolist()
             for i, j in _together(texts):
-                lang, doubt, doc, rows = measure(texts[i:j], said[i:j], profiles)
+                if len(book.form) > BOOK:
+                    book = _Book(profiles)
+                lang, doubt, doc, rows = measure(texts[i:j], said[i:j], profiles, book)
                 starts = np.searchsorted(doc, np.arange(j - i + 1))
                 flat = [rows[a:z].ravel() for a, z in zip(starts[:-1], starts[1:])]
                 sums = np.zeros((j - i, 5), dtype=np.int64)
