@@ -71,6 +71,16 @@ def test_chain_against_enumeration():
         assert abs(pairs[k, 0, 2] - sum(np.exp(v - total) * sum(a == 0 and b == 2 for a, b in zip(y, y[1:])) for y, v in ps.items())) < 1e-9
 
 
+def test_scaled_counts_are_those_of_logs():
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 30.0, 2000.0):
+        m, emit = model(rng, 4), rng.normal(size=(5, 6, 4)) * scale
+        use = np.array([True, False, True, True, False])
+        for got, want in zip(crf.chain_counts(emit, m.trans, use), (lambda a, p, z: (a, p[use].sum(axis=0), z))(*crf.chain_marginals(emit, m.trans))):
+            assert np.allclose(got, want, atol=1e-8)
+    assert crf.chain_counts(emit[:, :1], m.trans)[1][-1].sum() == pytest.approx(5)
+
+
 @pytest.mark.parametrize("segments", [False, True])
 def test_gradient_is_the_slope(segments):
     rng = np.random.default_rng(2)
