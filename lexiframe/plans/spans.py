@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import maths
 from lexiframe.operators import evaluation, indexing, spans
 from lexiframe.plans.common import ONE, TAG, TAGGED, TOK, held_out, one_sentences, tagged, tags, tokens, training
-from lexiframe.session import table
+from lexiframe.session import grows, table
 
 
 def _segments(spark, d):
@@ -108,7 +108,7 @@ def _gazetteer(spark, d):
     s = training(_segments(spark, d), spark, d)
     one = s.select("sent_id", "label", "begin", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos")).join(t, ["sent_id", "pos"])
     w = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
-    return one.groupBy("sent_id", "label", "begin").agg(w.alias("words")).select(F.col("label").alias("type"), "words").distinct()
+    return grows(one.groupBy("sent_id", "label", "begin").agg(w.alias("words")).select(F.col("label").alias("type"), "words").distinct())
 
 
 def gazetteer_word(spark, d):
