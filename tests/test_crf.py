@@ -173,3 +173,29 @@ def test_an_online_pass_is_step_by_step():
     m, _ = learning.online_pass(np.zeros((2, 6)), feats[:1], np.array([0]), "mira")
     s = m[:, feats[0]].sum(axis=1)
     assert s[0] - s[1] == pytest.approx(1.0)  # the least move that gives a margin of one
+
+
+def test_features_of_equal_words_are_scored_once(monkeypatch):
+    """Before, every token's features were summed up anew in every evaluation."""
+    import pandas as pd
+
+    asked, real = [], crf.Model.scores
+    monkeypatch.setattr(crf.Model, "scores", lambda self, f: asked.append(len(f)) or real(self, f))
+    f = [np.array([1, 2]), np.array([3])]
+    df = pd.DataFrame({"features": [[f[0], f[1], f[0]], [f[1], f[1]]], "gold": [[0, 1, 0], [1, 1]]})
+    crf._gradients(crf.Model.zeros(["a", "b"], 8), df, False)
+    assert sum(asked) == 2
+
+
+def test_sums_of_vectors_come_in_blocks(spark):
+    """Before, a row per weight came to the driver."""
+    from lexiframe.operators import blocks
+
+    def run(batches):
+        v = np.zeros(40_000)
+        for b in batches:
+            np.add.at(v, b["id"].to_numpy(), 1.0)
+        yield from blocks.frames(v)
+
+    got = blocks.total(spark.range(0, 40_000, 3, 4), run, 40_000)
+    assert got.sum() == 13_334 and got[::3].all() and not got[1::3].any()
