@@ -1,6 +1,6 @@
 """Training of linear multiclass models by batch updates over distributed rows.
 
-Each pass is one job: workers turn their rows into sums per (label, feature), which Spark adds up. The
+Each pass is one job: workers turn their rows into sums of all weights, which Spark adds up in blocks. The
 weights are an array of labels by hashed features, a stated bound that doesn't grow with the data.
 """
 
@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.operators import blocks
+from lexiframe.session import cut, release, spread
+
 #: Hash buckets of features.
 BUCKETS = 1 << 14
 
@@ -28,9 +31,11 @@ class Adadelta:
         self.g, self.d, self.rho, self.eps = np.zeros(shape), np.zeros(shape), rho, eps
 
     def step(self, grad: np.ndarray) -> np.ndarray:
-        self.g = self.rho * self.g + (1 - self.rho) * grad**2
-        move = np.sqrt((self.d + self.eps) / (self.g + self.eps)) * grad
-        self.d = self.rho * self.d + (1 - self.rho) * move**2
+        move = np.empty_like(grad)
+        for i, x in enumerate(grad):  # label by label, as the driver holds few arrays of all weights
+            self.g[i] = self.rho * self.g[i] + (1 - self.rho) * x**2
+            move[i] = np.sqrt((self.d[i] + self.eps) / (self.g[i] + self.eps)) * x
+            self.d[i] = self.rho * self.d[i] + (1 - self.rho) * move[i] ** 2
         return move
 
 
@@ -39,8 +44,11 @@ class Adagrad:
         self.g, self.rate = np.zeros(shape), rate
 
     def step(self, grad: np.ndarray) -> np.ndarray:
-        self.g += grad**2
-        return self.rate * grad / (np.sqrt(self.g) + 1e-8)
+        move = np.empty_like(grad)
+        for i, x in enumerate(grad):
+            self.g[i] += x**2
+            move[i] = self.rate * x / (np.sqrt(self.g[i]) + 1e-8)
+        return move
 
 
 def batch_gradient(w: np.ndarray, idx: np.ndarray, on: np.ndarray, gold: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +92,10 @@ def fit(rows: DataFrame, labels: list[str], loss: str = "log", passes: int = 8,
     of = {y: i for i, y in enumerate(labels)}
     w = np.zeros((len(labels), buckets))
     opt = {"adagrad": Adagrad, "adadelta": Adadelta}[optimizer](w.shape)
-    total = np.zeros_like(w)
-    n = max(1, rows.count())
+    total = np.zeros_like(w) if loss in ("perceptron", "mira") else None
+    # equal rows move the weights equally, so each is kept once with its number
+    rows = cut(spread(rows.groupBy("features", "label").agg(F.count(F.lit(1)).alias("n")), "features"))
+    n = max(1, rows.agg(F.sum("n")).first()[0] or 0)
     for _ in range(passes):
         sent = rows.sparkSession.sparkContext.broadcast(w)
 
@@ -97,19 +107,21 @@ def fit(rows: DataFrame, labels: list[str], loss: str = "log", passes: int = 8,
                     part = b.iloc[at : at + 2048]
                     idx, on = padded(part["features"].tolist())
                     d, _ = batch_gradient(sent.value, idx, on, part["label"].map(of).to_numpy(), loss)
+                    d *= part["n"].to_numpy()[:, None]
                     for j in range(idx.shape[1]):
                         np.add.at(g.T, idx[:, j], d * on[:, j : j + 1])
-            k, f = np.nonzero(g)
-            yield pd.DataFrame({"k": k, "f": f, "v": g[k, f]})
+            yield from blocks.frames(g.ravel())
 
-        sums = rows.select("features", "label").mapInPandas(run, "k int, f int, v double").groupBy("k", "f").agg(F.sum("v").alias("v"))
-        g = np.zeros_like(w)
-        for r in sums.collect():  # at most labels times buckets
-            g[r["k"], r["f"]] = r["v"]
-        sent.unpersist()
-        w = w + opt.step(g / n - l2 * w)
-        total += w
-    return total / passes if loss in ("perceptron", "mira") else w
+        g = blocks.total(rows.select("features", "label", "n"), run, w.size).reshape(w.shape)
+        sent.destroy()
+        g /= n
+        for i in range(len(g)):
+            g[i] -= l2 * w[i]
+        w += opt.step(g)
+        if total is not None:
+            total += w
+    release(rows)
+    return total / passes if total is not None else w
 
 
 def online_pass(w: np.ndarray, features: list[np.ndarray], gold: np.ndarray, loss: str, cap: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -157,21 +169,14 @@ def fit_online(rows: DataFrame, labels: list[str], loss: str = "perceptron", pas
                     here, s = online_pass(here, [np.asarray(f, dtype=np.int64) for f in b["features"]], b["label"].map(of).to_numpy(), loss)
                     summed, n = summed + s, n + len(b)
             if n:
-                d = here - sent.value
-                k, f = np.nonzero((d != 0) | (summed != 0))
-                yield pd.DataFrame({"k": np.r_[-1, k], "f": np.r_[-1, f], "d": np.r_[1.0, d[k, f]], "s": np.r_[float(n), summed[k, f]]})
-
-        sums = rows.select("features", "label").mapInPandas(run, "k int, f int, d double, s double").groupBy("k", "f").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
-        move, parts = np.zeros_like(w), 1.0
-        for r in sums.collect():  # at most labels times buckets
-            if r["k"] < 0:
-                parts, n = r["d"], r["s"]
-                steps += n
-            else:
-                move[r["k"], r["f"]] = r["d"]
-                total[r["k"], r["f"]] += r["s"]
-        sent.unpersist()
-        w = w + move / parts
+                yield from blocks.frames(np.r_[(here - sent.value).ravel(), summed.ravel(), 1.0, float(n)])
+
+        got = blocks.total(rows.select("features", "label"), run, 2 * w.size + 2)
+        sent.destroy()
+        move, summed, (parts, n) = got[: w.size], got[w.size : -2], got[-2:]
+        steps += n
+        total += summed.reshape(w.shape)
+        w = w + move.reshape(w.shape) / max(1.0, parts)
     return total / steps if steps else total
 
 
