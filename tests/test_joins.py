@@ -7,7 +7,7 @@ from tests.conftest import DATA
 from lexiframe.plans import registry
 
 
-@pytest.mark.parametrize("name", ["gazetteer_span", "gazetteer_word", "span_edges"])
+@pytest.mark.parametrize("name", ["gazetteer_span", "gazetteer_word", "span_edges", "column_corpus", "morphology_features"])
 def test_tables_by_sentence_are_not_broadcast(spark, name):
     key = "spark.sql.autoBroadcastJoinThreshold"
     old = spark.conf.get(key)
