@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lexiframe.session import passing
+
 #: Values of a block.
 BLOCK = 1 << 14
 SCHEMA = "block int, value binary"
@@ -29,7 +31,9 @@ def total(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     """The sum of the vectors of that size that `run` gives by frames(); what comes to the driver are
     their bytes once, as few rows."""
     out = np.zeros(size)
-    for r in df.mapInPandas(run, SCHEMA).groupBy("block").applyInPandas(_add, SCHEMA).collect():
+    with passing(df.sparkSession):  # the plan is made in it, as it remembers what then held
+        sums = df.mapInPandas(run, SCHEMA).groupBy("block").applyInPandas(_add, SCHEMA).collect()
+    for r in sums:
         v = np.frombuffer(bytes(r["value"]), dtype=np.float64)
         out[r["block"] : r["block"] + len(v)] = v
     return out

@@ -129,11 +129,11 @@ def online_pass(w: np.ndarray, features: list[np.ndarray], gold: np.ndarray, los
 
     perceptron: the gold's and the wrongly best label's weights move by one. mira: they move by the
     least that gives the gold a margin of one, at most by `cap`."""
-    w = w.copy()
-    late = np.zeros_like(w)  # moves by the step they were made at, for the sum over all steps
-    rows = np.arange(len(w))
+    v = np.array(w.T, order="C")  # by feature, so that a row's weights lie together
+    late = np.zeros_like(v)  # moves by the step they were made at, for the sum over all steps
+    rows = np.arange(v.shape[1])
     for step, (f, y) in enumerate(zip(features, gold)):
-        s = w[:, f].sum(axis=1)
+        s = v[f].sum(axis=0)
         if loss == "mira":
             m = s + (rows != y)
             z = int(m.argmax())
@@ -142,11 +142,11 @@ def online_pass(w: np.ndarray, features: list[np.ndarray], gold: np.ndarray, los
             z = int(s.argmax())
             size = 1.0
         if z != y:
-            w[y, f] += size
-            w[z, f] -= size
-            late[y, f] += size * step
-            late[z, f] -= size * step
-    return w, w * len(gold) - late
+            v[f, y] += size
+            v[f, z] -= size
+            late[f, y] += size * step
+            late[f, z] -= size * step
+    return v.T, (v * len(gold) - late).T
 
 
 def fit_online(rows: DataFrame, labels: list[str], loss: str = "perceptron", passes: int = 5, buckets: int = BUCKETS) -> np.ndarray:
