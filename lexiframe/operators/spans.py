@@ -24,6 +24,15 @@ def entity_segments(sentences: DataFrame) -> DataFrame:
     return e.withColumn("before", F.coalesce(F.max("end").over(w), F.lit(0))).where("begin >= before").drop("before")
 
 
+def with_segments(sentences: DataFrame) -> DataFrame:
+    """Adds `segments`, ARRAY<STRUCT<begin, end, label>> in order: entity_segments of the row itself."""
+    e = F.transform("annotations.ner", lambda e: F.struct(e["span_begin"].alias("begin"), e["span_end"].alias("end"), e["ner_type"].alias("label")))
+    e = F.filter(e, lambda x: x["label"].isNotNull() & (x["begin"] >= 0) & (x["begin"] < x["end"]) & (x["end"] <= F.size("words")))
+    s = sentences.withColumn("spans", F.array_sort(F.array_distinct(e)))
+    before = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda y: y["end"])), F.lit(0))
+    return s.withColumn("segments", F.filter("spans", lambda x, i: x["begin"] >= before(i))).drop("spans")
+
+
 def bio_encode(tokens: DataFrame, segments: DataFrame) -> DataFrame:
     """(sent_id, pos, bio): B-label at a segment's first token, I-label inside, O outside."""
     marks = segments.select("sent_id", "label", "begin", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import maths
 from lexiframe.operators import evaluation, indexing, spans
-from lexiframe.plans.common import ONE, TAG, TAGGED, TOK, held_out, one_sentences, tagged, tags, tokens, training
+from lexiframe.plans.common import ONE, TAG, TAGGED, TOK, delivered, held_out, held_sections, one_sentences, tagged, tags, tokens, training
 from lexiframe.session import grows, table
 
 
@@ -103,12 +103,12 @@ def quote_state(spark, d):
 
 
 def _gazetteer(spark, d):
-    """Entries from the gold entities of the training sentences: label and words."""
-    t = tokens(spark, d)
-    s = training(_segments(spark, d), spark, d)
-    one = s.select("sent_id", "label", "begin", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos")).join(t, ["sent_id", "pos"])
-    w = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
-    return grows(one.groupBy("sent_id", "label", "begin").agg(w.alias("words")).select(F.col("label").alias("type"), "words").distinct())
+    """Entries from the gold entities of the training sentences: label and words; in the sentence's row."""
+    words = lambda s: F.transform(F.slice("words", s["begin"] + 1, s["end"] - s["begin"]), lambda w: F.coalesce(F.trim(w), F.lit("")))
+    entries = F.transform("segments", lambda s: F.struct(s["label"].alias("type"), words(s).alias("words")))
+    s = spans.with_segments(delivered(spark, d)).select("sent_id", "section_id", entries.alias("entries")).dropDuplicates(["sent_id"])
+    s = s.where(F.size("entries") > 0).join(held_sections(spark, d), "section_id", "left_anti")
+    return grows(s.select(F.inline("entries")).distinct())
 
 
 def gazetteer_word(spark, d):
