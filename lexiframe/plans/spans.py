@@ -65,12 +65,20 @@ def span_shapes(spark, d):
     return s.select("sent_id", "label", "begin", "end", spans.span_shape(F.col("words"), F.col("begin"), F.col("end")).alias("shape"))
 
 
+def _word(i):
+    return F.coalesce(F.trim(F.get("words", i)), F.lit(""))
+
+
 def span_edges(spark, d):
-    """First and last word of each entity, crossed."""
-    t = tokens(spark, d)
-    s = _segments(spark, d).join(t.select("sent_id", F.col("pos").alias("begin"), F.col("word").alias("first")), ["sent_id", "begin"])
-    s = s.join(t.select("sent_id", (F.col("pos") + 1).alias("end"), F.col("word").alias("last")), ["sent_id", "end"])
-    return s.groupBy("label", F.concat_ws(" & ", "first", "last").alias("edges")).agg(F.count(F.lit(1)).alias("n"))
+    """First and last word of each entity, crossed. Segments are found in the sentence's row, and of its
+    words only those at their edges are shuffled."""
+    s = spans.with_segments(delivered(spark, d))
+    at = F.array_distinct(F.flatten(F.transform("segments", lambda x: F.array(x["begin"], x["end"] - 1))))
+    words = F.map_from_entries(F.transform(at, lambda i: F.struct(i, _word(i))))
+    seg = grows(s.select("sent_id", "segments").dropDuplicates(["sent_id"]).where(F.size("segments") > 0))
+    j = seg.join(grows(s.select("sent_id", words.alias("words")).dropDuplicates(["sent_id"])), "sent_id").select("words", F.inline("segments"))
+    edges = F.concat_ws(" & ", F.try_element_at("words", F.col("begin")), F.try_element_at("words", F.col("end") - 1))
+    return j.groupBy("label", edges.alias("edges")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def span_mask(spark, d):
