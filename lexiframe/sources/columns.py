@@ -25,6 +25,16 @@ def examples(lines: DataFrame, labelled: bool = True, file_col: str = "file", li
     return g.select(F.concat_ws("-", file_col, "block").alias("id"), F.col("a.word").alias("words"), F.col("a.inputs").alias("inputs"), F.col("a.label").alias("labels"))
 
 
+def block_examples(blocks: DataFrame, labelled: bool = True, lines_col: str = "lines") -> DataFrame:
+    """(words, inputs, labels) of rows that hold the lines of one whole block: what examples() gives where
+    the blocks are known, without a shuffle."""
+    lines = F.transform(F.filter(lines_col, lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), " +"))
+    b = blocks.select(lines.alias("cols")).where(F.size("cols") > 0)
+    labels = F.transform("cols", lambda c: F.when(F.lit(labelled), F.element_at(c, -1)))
+    inputs = F.transform("cols", lambda c: F.slice(c, 1, F.size(c) - (1 if labelled else 0)))
+    return b.select(F.transform("cols", lambda c: c[0]).alias("words"), inputs.alias("inputs"), labels.alias("labels"))
+
+
 def documents(lines: DataFrame, begin: str = "#begin", end: str = "#end", file_col: str = "file", line_col: str = "line_no", text_col: str = "text") -> DataFrame:
     """Adds `document`: the running number of the begin-end stretch; lines outside are left out."""
     w = Window.partitionBy(file_col).orderBy(line_col)
