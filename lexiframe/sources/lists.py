@@ -47,6 +47,16 @@ def morphology(lines: DataFrame, file_col: str = "file", line_col: str = "line_n
     return b.select(key.alias("key"), "pos", F.array(F.concat(F.lit("lem="), F.get("p", 1))).alias("features")).distinct()
 
 
+def morphology_blocks(blocks: DataFrame, lines_col: str = "lines") -> DataFrame:
+    """(key, entries ARRAY<STRUCT<pos, features>>) of rows that hold the lines of one whole block: the rows
+    of morphology() by key."""
+    p = F.transform(F.filter(lines_col, lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), r"\s+"))
+    b = blocks.select(p.alias("p")).where(F.size("p") > 0)
+    entries = F.transform("p", lambda x, i: F.struct(i.alias("pos"), F.array(F.concat(F.lit("lem="), F.get(x, 1))).alias("features")))
+    b = b.select(F.array_join(F.transform("p", lambda x: x[0]), " ").alias("key"), entries.alias("entries"))
+    return b.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("entries"))).alias("entries"))
+
+
 def write_weights(weights: DataFrame, path: str, least: float = 1e-4) -> None:
     """feature <tab> weight, compressed; weights near zero are left out."""
     w = weights.where(F.abs("weight") > least).select(F.concat_ws("\t", "feature", F.col("weight").cast("string")).alias("value"))
