@@ -33,6 +33,16 @@ def with_segments(sentences: DataFrame) -> DataFrame:
     return s.withColumn("segments", F.filter("spans", lambda x, i: x["begin"] >= before(i))).drop("spans")
 
 
+def filled_segments(number) -> Column:
+    """ARRAY<STRUCT<begin, end, label>> of `segments` and of a unit segment 0 for every one of `words` outside
+    of them, in order: fill_gaps of the row itself. number gives a label's number."""
+    own = F.transform("segments", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), number(s["label"]).alias("label")))
+    inside = F.flatten(F.transform("segments", lambda s: F.sequence(s["begin"], s["end"] - 1)))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i < F.size("words")) & ~F.array_contains(inside, i))
+    gaps = F.transform(places, lambda i: F.struct(i.alias("begin"), (i + 1).alias("end"), F.lit(0).alias("label")))
+    return F.array_sort(F.concat(F.coalesce(own, F.slice(gaps, 1, 0)), F.coalesce(gaps, F.slice(own, 1, 0))))
+
+
 def bio_encode(tokens: DataFrame, segments: DataFrame) -> DataFrame:
     """(sent_id, pos, bio): B-label at a segment's first token, I-label inside, O outside."""
     marks = segments.select("sent_id", "label", "begin", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos"))
