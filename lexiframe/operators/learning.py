@@ -1,7 +1,9 @@
 """Training of linear multiclass models by batch updates over distributed rows.
 
 Each pass is one job: workers turn their rows into sums of all weights, which Spark adds up in blocks. The
-weights are an array of labels by hashed features, a stated bound that doesn't grow with the data.
+weights are an array of labels by hashed features, a stated bound that doesn't grow with the data. Where
+labels are many, that array is a table in the shared folder with a row per label (Stored), which workers
+read and write and the driver doesn't hold.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from lexiframe.session import cut, release, spread
 
 #: Hash buckets of features.
 BUCKETS = 1 << 14
+#: Labels whose weights a worker moves at once, scores that it works out at once, and rows whose prediction it keeps.
+LABELS, SCORES, KEPT = 128, 1 << 20, 1 << 17
 
 
 def hash_features(features: Column, buckets: int = BUCKETS) -> Column:
@@ -124,6 +130,161 @@ def fit(rows: DataFrame, labels: list[str], loss: str = "log", passes: int = 8,
     return total / passes if total is not None else w
 
 
+class Stored:
+    """Weights as a table (label INT, w BINARY and what else belongs to it) in the shared folder; the
+    frame is that of the table, and None stands for zeros."""
+
+    def __init__(self, df: DataFrame | None, labels: int, buckets: int):
+        self.path = df._lexiframe_path if df is not None else None
+        self.labels, self.buckets = labels, buckets
+
+    def rows(self, first: int, last: int, cols: tuple[str, ...]) -> list[np.ndarray]:
+        """Arrays (last - first, buckets) of labels from first until before last."""
+        out = [np.zeros((last - first, self.buckets)) for _ in cols]
+        if self.path:
+            here = (dataset.field("label") >= first) & (dataset.field("label") < last)
+            for b in batches_of(self.path, ["label", *cols], here, 16):
+                for x, c in zip(out, cols):
+                    for y, v in zip(b.column("label").to_pylist(), b.column(c)):
+                        if v.is_valid:
+                            x[y - first] = np.frombuffer(v.as_buffer(), dtype=np.float64)
+        return out
+
+    def by_feature(self) -> np.ndarray:
+        """(buckets, labels) weights."""
+        out = np.zeros((self.buckets, self.labels))
+        for i in range(0, self.labels, LABELS):
+            last = min(self.labels, i + LABELS)
+            out[:, i:last] = self.rows(i, last, ("w",))[0].T
+        return out
+
+
+def batches_of(path: str, cols: list[str], where=None, size: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """A table of the shared folder, read by a worker."""
+    files, at = fs.FileSystem.from_uri(path)
+    names = sorted(x.path for x in files.get_file_info(fs.FileSelector(at)) if x.path.endswith(".parquet"))
+    if names:
+        yield from dataset.dataset(names, filesystem=files, format="parquet").scanner(columns=cols, filter=where, batch_size=size, batch_readahead=1, fragment_readahead=1, use_threads=False).to_batches()
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how many of them each row has) of ARRAY<INT>."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+
+
+def lots(flat: np.ndarray, many: np.ndarray, labels: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows, and their features, that are scored together."""
+    ends = np.r_[0, np.cumsum(many)]
+    size = max(1, SCORES // (labels * max(1, int(many.max(initial=1)))))
+    for at in range(0, len(many), size):
+        last = min(len(many), at + size)
+        yield slice(at, last), flat[ends[at] : ends[last]]
+
+
+def scores(by_feature: np.ndarray, flat: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """(rows, labels): sums of the weights of each row's features."""
+    out = np.zeros((len(many), by_feature.shape[1]))
+    some = np.flatnonzero(many)
+    if len(some):
+        out[some] = np.add.reduceat(by_feature[flat], (np.cumsum(many) - many)[some], axis=0)
+    return out
+
+
+def decided(s: np.ndarray, gold: np.ndarray, many: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best, step, z) of rows with scores (n, labels), as batch_gradient() has them: the label that loses
+    `step` to the gold, or with log the log partition."""
+    rows = np.arange(len(gold))
+    if loss == "log":
+        top = s.max(axis=1, keepdims=True)
+        return np.full(len(gold), -1), np.ones(len(gold)), (top + np.log(np.exp(s - top).sum(axis=1, keepdims=True)))[:, 0]
+    margin = s + (1.0 if loss in ("hinge", "mira") else 0.0)
+    margin[rows, gold] = s[rows, gold]
+    best = margin.argmax(axis=1)
+    step = (best != gold).astype(float)
+    if loss == "mira":
+        step *= np.minimum(1.0, (margin[rows, best] - s[rows, gold]) / (2 * np.maximum(1, many)))
+    return best, step, np.zeros(len(gold))
+
+
+def fit_stored(rows: DataFrame, labels: list[str], loss: str = "log", passes: int = 8, l2: float = 1e-4, optimizer: str = "adagrad", buckets: int = BUCKETS) -> Stored:
+    """fit() of rows (features, label, n), n being how often a row occurs, without an array of all weights in
+    the driver or in a shuffle: first the rows are scored, then each worker goes over all of them for labels
+    of its own. What is read over and again are the different rows."""
+    spark, size = rows.sparkSession, len(labels)
+    number = F.map_from_arrays(F.lit(labels), F.sequence(F.lit(0), F.lit(size - 1)))
+    rows = rows.groupBy("features", "label").agg(F.sum("n").alias("n"))
+    rows = cut(spread(rows.select("features", F.try_element_at(number, F.col("label")).alias("y"), "n"), "features"))
+    n = max(1, rows.agg(F.sum("n")).first()[0] or 0)
+    rows_of = rows.where("y is not null")
+    kinds = {"adagrad": (Adagrad, ("g",)), "adadelta": (Adadelta, ("g", "d"))}
+    made, kept = kinds[optimizer]
+    averaged = loss in ("perceptron", "mira")
+    state, now = None, Stored(None, size, buckets)
+    for last in range(passes - 1, -1, -1):
+
+        def score(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            w = None
+            for b in batches:
+                w = now.by_feature() if w is None else w
+                flat, many = lists(b.column("features"))
+                gold = np.asarray(b.column("y")).astype(np.int64)
+                got = [decided(scores(w, f, many[at]), gold[at], many[at], loss) for at, f in lots(flat, many, size)]
+                best, step, z = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("features", "y", "n")), pa.array(best, pa.int32()), pa.array(step), pa.array(z)], names=["features", "y", "n", "best", "step", "z"])
+
+        scored = cut(rows_of.mapInArrow(score, "features array<int>, y int, n bigint, best int, step double, z double"))
+
+        def move(batches: Iterator[pa.RecordBatch], now=now, at=scored._lexiframe_path, last=last) -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([np.zeros(0, int), *(np.asarray(b.column("id")) for b in batches)])
+            for i in range(0, len(ids), LABELS):  # a partition's labels follow each other
+                first, end = int(ids[i]), int(ids[min(len(ids), i + LABELS) - 1]) + 1
+                w, *more = now.rows(first, end, ("w", *kept, *["total"] * averaged))
+                g = gradient(w, first, at, loss)
+                g /= n
+                g -= l2 * w
+                opt = made(w.shape)
+                for k, x in zip(kept, more):
+                    setattr(opt, k, x)
+                w += opt.step(g)
+                if averaged:
+                    more[-1] += w
+                out = dict(zip(("w", *kept, *["total"] * averaged), (w, *more)))
+                if not last:  # nothing but the weights is asked for
+                    out = {"w": out["total"] / passes if averaged else w}
+                for j in range(0, end - first, 16):
+                    cells = [pa.array([x.tobytes() for x in out[k][j : j + 16]] if k in out else [None] * len(w[j : j + 16]), pa.binary()) for k in cols]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(first + j, first + j + len(cells[0])), pa.int32()), *cells], names=["label", *cols])
+
+        cols = ("w", *kept, *["total"] * averaged)
+        old, state = state, cut(spark.range(0, size, 1, max(1, min(size, spark.sparkContext.defaultParallelism))).mapInArrow(move, "label int, " + ", ".join(f"{c} binary" for c in cols)))
+        now = Stored(state, size, buckets)
+        release(scored)
+        release(old)
+    release(rows)
+    return now
+
+
+def gradient(w: np.ndarray, first: int, path: str, loss: str) -> np.ndarray:
+    """The rows' sum for the labels from `first` on, whose weights are w."""
+    by_feature, out = np.ascontiguousarray(w.T), np.zeros((w.shape[1], len(w)))
+    for b in batches_of(path, ["features", "y", "n", "best", "step", "z"]):
+        flat, many = lists(b.column("features"))
+        y, n, best, step, z = (np.asarray(b.column(c)) for c in ("y", "n", "best", "step", "z"))
+        for at, f in lots(flat, many, len(w)):
+            k = n[at].astype(float)
+            d = np.exp(scores(by_feature, f, many[at]) - z[at, None]) * -k[:, None] if loss == "log" else np.zeros((len(k), len(w)))
+            for label, sign in ((y[at], 1.0), (best[at], -1.0)):
+                own = np.flatnonzero((label >= first) & (label < first + len(w)))
+                np.add.at(d, (own, label[own] - first), sign * (step[at] * k)[own])
+            row = np.repeat(np.arange(len(k)), many[at])
+            order = np.argsort(f, kind="stable")
+            f = f[order]
+            if len(f):
+                start = np.r_[0, np.flatnonzero(np.diff(f)) + 1]
+                out[f[start]] += np.add.reduceat(d[row[order]], start, axis=0)
+    return np.ascontiguousarray(out.T)
+
+
 def online_pass(w: np.ndarray, features: list[np.ndarray], gold: np.ndarray, loss: str, cap: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, sum of the weights over the steps) after one update per row, in order.
 
@@ -180,22 +341,29 @@ def fit_online(rows: DataFrame, labels: list[str], loss: str = "perceptron", pas
     return total / steps if steps else total
 
 
-def predict(rows: DataFrame, w: np.ndarray, labels: list[str], keep: list[str]) -> DataFrame:
+def predict(rows: DataFrame, w: np.ndarray | Stored, labels: list[str], keep: list[str]) -> DataFrame:
     """Adds `pred` to rows with a features column."""
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    sent = rows.sparkSession.sparkContext.broadcast(w)
+    sent = w if isinstance(w, Stored) else rows.sparkSession.sparkContext.broadcast(w)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, names = None, pa.array(labels, pa.string())
+        seen: dict[bytes, int] = {}  # rows recur, as words do
         for b in batches:
-            out = b[keep].copy()
-            best: list[str] = []
-            for at in range(0, len(b), 2048):
-                idx, on = padded(b["features"].iloc[at : at + 2048].tolist())
-                best += [labels[i] for i in (sent.value[:, idx] * on).sum(axis=2).argmax(axis=0)]
-            out["pred"] = best
-            yield out
-
-    return rows.select(*keep, "features").mapInPandas(run, f"{kinds}, pred string")
+            if v is None:
+                v = sent.by_feature() if isinstance(sent, Stored) else np.ascontiguousarray(sent.value.T)
+            flat, many = lists(b.column("features"))
+            raw, ends = flat.tobytes(), np.r_[0, np.cumsum(many) * 8].tolist()
+            rows = [raw[i:j] for i, j in zip(ends, ends[1:])]
+            if len(seen) > KEPT:
+                seen.clear()
+            new = [k for k in dict.fromkeys(rows) if k not in seen]
+            flat, many = np.frombuffer(b"".join(new), dtype=np.int64), np.array([len(k) // 8 for k in new], dtype=np.int64)
+            best = [scores(v, f, many[at]).argmax(axis=1) for at, f in lots(flat, many, len(labels))]
+            seen.update(zip(new, np.concatenate([np.zeros(0, int), *best]).tolist()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), names.take(pa.array([seen[k] for k in rows], pa.int64()))], names=[*keep, "pred"])
+
+    return rows.select(*keep, "features").mapInArrow(run, f"{kinds}, pred string")
 
 
 def perceptron_sequences(sentences: list[tuple[np.ndarray, list[int]]], n_labels: int, passes: int = 5) -> tuple[np.ndarray, np.ndarray]:
