@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.operators import blocks
-from lexiframe.session import cut, release, spread
+from lexiframe.session import cut, passing, release, spread
 
 #: Hash buckets of features.
 BUCKETS = 1 << 14
 #: Labels whose weights a worker moves at once, scores that it works out at once, and rows whose prediction it keeps.
-LABELS, SCORES, KEPT = 128, 1 << 20, 1 << 17
+LABELS, SCORES, KEPT = 128, 1 << 20, 1 << 15
+#: Labels whose weights go between a table and a worker's array at once.
+FEW = 32
 
 
 def hash_features(features: Column, buckets: int = BUCKETS) -> Column:
@@ -153,8 +155,8 @@ class Stored:
     def by_feature(self) -> np.ndarray:
         """(buckets, labels) weights."""
         out = np.zeros((self.buckets, self.labels))
-        for i in range(0, self.labels, LABELS):
-            last = min(self.labels, i + LABELS)
+        for i in range(0, self.labels, FEW):
+            last = min(self.labels, i + FEW)
             out[:, i:last] = self.rows(i, last, ("w",))[0].T
         return out
 
@@ -291,54 +293,142 @@ def online_pass(w: np.ndarray, features: list[np.ndarray], gold: np.ndarray, los
     perceptron: the gold's and the wrongly best label's weights move by one. mira: they move by the
     least that gives the gold a margin of one, at most by `cap`."""
     v = np.array(w.T, order="C")  # by feature, so that a row's weights lie together
-    late = np.zeros_like(v)  # moves by the step they were made at, for the sum over all steps
-    rows = np.arange(v.shape[1])
-    for step, (f, y) in enumerate(zip(features, gold)):
-        s = v[f].sum(axis=0)
-        if loss == "mira":
-            m = s + (rows != y)
-            z = int(m.argmax())
-            size = min(cap, (m[z] - s[y]) / (2 * max(1, len(f))))
-        else:
-            z = int(s.argmax())
+    o = Online(v, loss, cap)
+    o.go([np.ascontiguousarray(f, dtype=np.int64).tobytes() for f in features], np.asarray(gold).tolist())
+    return v.T, o.summed(slice(None)).T
+
+
+class Online:
+    """Updates of weights (buckets, labels) in place, row by row.
+
+    A row that called for no move calls for none until one of its features' weights has moved, so it isn't
+    scored again before that."""
+
+    def __init__(self, v: np.ndarray, loss: str, cap: float = 1.0):
+        self.v, self.loss, self.cap, self.step = v, loss, cap, 0
+        # moves by the step they were made at, for the sum over all steps; by label, as most labels move little and untouched memory isn't taken
+        self.late = np.zeros(v.shape[::-1])
+        self.moved = [-1] * len(v)  # the step at which a feature's weights moved last
+        self.seen: dict[bytes, tuple] = {}
+
+    def go(self, rows: list[bytes], gold: list[int]) -> None:
+        """Rows are the bytes of their features (int64)."""
+        v, late, moved, seen, mira = self.v, self.late, self.moved, self.seen, self.loss == "mira"
+        s, m = np.empty(v.shape[1]), np.empty(v.shape[1])
+        if len(seen) > KEPT:
+            seen.clear()
+        for step, (key, y) in enumerate(zip(rows, gold), self.step):
+            known = seen.get(key)
+            if known is None:
+                f = np.frombuffer(key, dtype=np.int64)
+                known = seen[key] = (f, f.tolist(), {})
+            f, each, right = known
+            at = right.get(y, -1)
+            if at >= 0:
+                for j in each:
+                    if moved[j] > at:
+                        break
+                else:
+                    continue
+            np.add.reduce(v.take(f, axis=0), axis=0, out=s)
             size = 1.0
-        if z != y:
+            if mira:
+                np.add(s, 1.0, out=m)
+                m[y] = s[y]
+                z = int(m.argmax())
+                size = min(self.cap, (m[z] - s[y]) / (2 * max(1, len(each))))
+            else:
+                z = int(s.argmax())
+            if z == y:
+                right[y] = step
+                continue
             v[f, y] += size
             v[f, z] -= size
-            late[f, y] += size * step
-            late[f, z] -= size * step
-    return v.T, (v * len(gold) - late).T
+            late[y, f] += size * step
+            late[z, f] -= size * step
+            for j in each:
+                moved[j] = step
+        self.step += len(gold)
+
+    def summed(self, labels) -> np.ndarray:
+        """Sum of some labels' weights over the steps."""
+        return self.v[:, labels] * self.step - self.late[labels].T
 
 
 def fit_online(rows: DataFrame, labels: list[str], loss: str = "perceptron", passes: int = 5, buckets: int = BUCKETS) -> np.ndarray:
-    """Averaged weights (labels, buckets) of an online learner over distributed rows (features, label).
+    """The weights (labels, buckets) of fit_online_stored(), for few labels."""
+    return fit_online_stored(rows, labels, loss, passes, buckets).by_feature().T
+
+
+def fit_online_stored(rows: DataFrame, labels: list[str], loss: str = "perceptron", passes: int = 5, buckets: int = BUCKETS) -> Stored:
+    """Averaged weights of an online learner over distributed rows (features, label).
 
     In every pass each partition updates the common weights row by row, in its own order; the
     partitions' weights are then mixed by their mean, and their sums over all steps give the average.
-    What comes to the driver is labels times buckets at most."""
-    of = {y: i for i, y in enumerate(labels)}
-    w = np.zeros((len(labels), buckets))
-    total, steps = np.zeros_like(w), 0.0
-    for _ in range(passes):
-        sent = rows.sparkSession.sparkContext.broadcast(w)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            here, summed, n = sent.value, np.zeros_like(sent.value), 0
+    What is shuffled are weights that aren't zero; what comes to the driver are two numbers."""
+    spark, count = rows.sparkSession, len(labels)
+    number = F.map_from_arrays(F.lit(labels), F.sequence(F.lit(0), F.lit(count - 1)))
+    rows = rows.select("features", F.try_element_at(number, F.col("label")).alias("y")).where("y is not null")
+    state, now, steps = None, Stored(None, count, buckets), 0.0
+    for left in range(passes - 1, -1, -1):
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            o = None
             for b in batches:
-                b = b[b["label"].isin(of)]
-                if len(b):
-                    here, s = online_pass(here, [np.asarray(f, dtype=np.int64) for f in b["features"]], b["label"].map(of).to_numpy(), loss)
-                    summed, n = summed + s, n + len(b)
-            if n:
-                yield from blocks.frames(np.r_[(here - sent.value).ravel(), summed.ravel(), 1.0, float(n)])
-
-        got = blocks.total(rows.select("features", "label"), run, 2 * w.size + 2)
-        sent.destroy()
-        move, summed, (parts, n) = got[: w.size], got[w.size : -2], got[-2:]
+                if b.num_rows:
+                    o = o or Online(now.by_feature(), loss)
+                    flat, many = lists(b.column("features"))
+                    raw, ends = flat.tobytes(), np.r_[0, np.cumsum(many) * 8].tolist()
+                    o.go([raw[i:j] for i, j in zip(ends, ends[1:])], np.asarray(b.column("y")).tolist())
+            if o is None:
+                return
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.zeros(2, np.int32), np.array([1.0, o.step]), np.zeros(2)))], names=["label", "at", "move", "total"])
+            for i in range(0, count, FEW):
+                end = min(count, i + FEW)
+                move, total = o.v[:, i:end].T - now.rows(i, end, ("w",))[0], o.summed(slice(i, end)).T
+                for y in range(end - i):
+                    some = np.flatnonzero((move[y] != 0) | (total[y] != 0))
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([pa.array([i + y], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (some.astype(np.int32), move[y, some], total[y, some]))], names=["label", "at", "move", "total"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            label, sums = None, np.zeros((2, max(2, buckets)))
+            for b in batches:
+                for y, *cells in zip(*(b.column(c).to_pylist() for c in ("label", "at", "move", "total"))):
+                    if label is not None and y != label:
+                        yield row(label, sums)
+                        sums[:] = 0.0
+                    label, at = y, np.frombuffer(cells[0], dtype=np.int32) if y >= 0 else np.arange(2)
+                    sums[0, at] += np.frombuffer(cells[1], dtype=np.float64)
+                    sums[1, at] += np.frombuffer(cells[2], dtype=np.float64)
+            if label is not None:
+                yield row(label, sums)
+
+        def row(label: int, sums: np.ndarray) -> pa.RecordBatch:
+            size = buckets if label >= 0 else 2
+            return pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), *(pa.array([x[:size].tobytes()], pa.binary()) for x in sums)], names=["label", "move", "total"])
+
+        with passing(spark):
+            moves = rows.mapInArrow(run, "label int, at binary, move binary, total binary")
+            sums = cut(spread(moves, "label").sortWithinPartitions("label").mapInArrow(add, "label int, move binary, total binary"))
+        made = [np.frombuffer(bytes(r["move"]), dtype=np.float64) for r in sums.where("label < 0").collect()]  # one row at most
+        parts, n = made[0] if made else (0.0, 0.0)
         steps += n
-        total += summed.reshape(w.shape)
-        w = w + move.reshape(w.shape) / max(1.0, parts)
-    return total / steps if steps else total
+
+        def mix(batches: Iterator[pa.RecordBatch], now=now, moved=Stored(sums, count, buckets), parts=parts, left=left, steps=steps) -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([np.zeros(0, int), *(np.asarray(b.column("id")) for b in batches)])
+            for i in range(0, len(ids), FEW):  # a partition's labels follow each other
+                first, end = int(ids[i]), int(ids[min(len(ids), i + FEW) - 1]) + 1
+                (w, total), (move, more) = now.rows(first, end, ("w", "total")), moved.rows(first, end, ("move", "total"))
+                w, total = w + move / max(1.0, parts), total + more
+                out = (w, total) if left else (total / max(1.0, steps), None)
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, end), pa.int32()), *(pa.array([None] * len(w) if x is None else [r.tobytes() for r in x], pa.binary()) for x in out)], names=["label", "w", "total"])
+
+        old, state = state, cut(spark.range(0, count, 1, max(1, min(count, spark.sparkContext.defaultParallelism))).mapInArrow(mix, "label int, w binary, total binary"))
+        now = Stored(state, count, buckets)
+        release(sums)
+        release(old)
+    return now
 
 
 def predict(rows: DataFrame, w: np.ndarray | Stored, labels: list[str], keep: list[str]) -> DataFrame:

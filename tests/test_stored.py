@@ -37,3 +37,27 @@ def test_the_driver_takes_no_weights(spark, rows, loss, optimizer, monkeypatch):
     w = learning.fit_stored(rows.withColumn("n", F.lit(1)), LABELS, loss, 2, optimizer=optimizer, buckets=32)
     learning.predict(rows, w, LABELS, ["label"])
     assert sum(len(x) for x in collected) <= 1
+
+
+@pytest.mark.parametrize("loss", ["perceptron", "mira"])
+def test_online_weights_are_those_of_one_pass_after_another(spark, rows, loss, monkeypatch):
+    """Of one partition, with no weights in the driver: before, they were broadcast and six arrays held."""
+    from pyspark import SparkContext
+
+    monkeypatch.setattr(SparkContext, "broadcast", lambda *a: pytest.fail("weights are broadcast"))
+    df = rows.where("label <> 'unlisted'").coalesce(1)
+    made = df.collect()
+    w, total = np.zeros((5, 32)), np.zeros((5, 32))
+    for _ in range(3):
+        for r in made:
+            y, f = LABELS.index(r.label), list(r.features)
+            s = w[:, f].sum(axis=1)
+            m = s + (np.arange(5) != y) if loss == "mira" else s
+            z = int(m.argmax())
+            if z != y:
+                size = min(1.0, (m[z] - s[y]) / (2 * max(1, len(f)))) if loss == "mira" else 1.0
+                w[y, f] += size
+                w[z, f] -= size
+            total += w
+    got = learning.fit_online_stored(df, LABELS, loss, 3, 32)
+    assert np.allclose(got.by_feature().T, total / (3 * len(made)))
