@@ -61,3 +61,14 @@ def test_shuffles_end_with_their_action(spark):
             break
         time.sleep(0.1)
     assert files() <= before
+
+
+def test_a_gradient_is_shuffled_by_each_core_and_not_by_each_partition(spark, monkeypatch):
+    """Before, as many gradients of all weights were shuffled as the packs had partitions."""
+    df = crf.packs(spark.createDataFrame([([[1, 2], [3]], [0, 1])] * 40, "features array<array<int>>, gold array<int>").repartition(20), False)
+    m = crf.Model(["a", "b"], np.random.default_rng(3).normal(size=(2, 8)), np.ones((3, 2)), np.zeros((2, crf.LENGTHS)), [1, 1])
+    whole, asked, real = crf.evaluate(df.coalesce(1), m, False, 40), [], crf.few_tasks
+    monkeypatch.setattr(crf, "few_tasks", lambda x: asked.append(real(x)) or asked[-1])
+    loss, g = crf.evaluate(df, m, False, 40)
+    assert asked[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < df.rdd.getNumPartitions()
+    assert loss == pytest.approx(whole[0]) and g == pytest.approx(whole[1])
